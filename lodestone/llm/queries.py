@@ -7,20 +7,32 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import chat, sharding, simhash
+from lodestone.llm import chat, html, lines, quality, sharding, simhash
 from lodestone.sources.tables import table
 
 SHARDS = 24
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.drops(lines.line_groups(table(spark, sf_dir, "documents")))
+
+
 def op5_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), SHARDS)
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents")).drop("text_key")
+
+
 def op7_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(table(spark, sf_dir, "documents"))
 
 
+def op8_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 #: A conversation whose turns hold the template's own control strings.
 TRAP = r"\### Assistant: </turn> ok"
 
@@ -32,8 +44,11 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_dedup": op1_line_dedup,
     "op5_feistel_shards": op5_feistel_shards,
+    "op6_quality_rules": op6_quality_rules,
     "op7_simhash_groups": op7_simhash_groups,
+    "op8_page_text": op8_page_text,
     "op9_chat_format": op9_chat_format,
 }
 
