@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import chat, html, lines, quality, sharding, simhash
+from lodestone.llm import chat, html, licenses, lines, mixing, quality, sharding, simhash
 from lodestone.sources.tables import table
 
 SHARDS = 24
@@ -17,6 +17,10 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.drops(lines.line_groups(table(spark, sf_dir, "documents")))
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op5_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), SHARDS)
 
@@ -43,13 +47,22 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_conversations(turns.unionByName(trap)))
 
 
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
+    "op4_mixing": op4_mixing,
     "op5_feistel_shards": op5_feistel_shards,
     "op6_quality_rules": op6_quality_rules,
     "op7_simhash_groups": op7_simhash_groups,
     "op8_page_text": op8_page_text,
     "op9_chat_format": op9_chat_format,
+    "op10_licenses": op10_licenses,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_mixing": mixing.oracle(),
+    "op10_licenses": licenses.oracle(),
+}
