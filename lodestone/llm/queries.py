@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import chat, html, licenses, lines, mixing, quality, sharding, simhash
+from lodestone.llm import chat, html, licenses, lines, mixing, passages, quality, sharding, simhash
 from lodestone.sources.tables import table
 
 SHARDS = 24
@@ -17,6 +17,10 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.drops(lines.line_groups(table(spark, sf_dir, "documents")))
 
 
+def op2_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.near_duplicate_passages(table(spark, sf_dir, "documents"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -53,6 +57,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_passages": op2_passages,
     "op4_mixing": op4_mixing,
     "op5_feistel_shards": op5_feistel_shards,
     "op6_quality_rules": op6_quality_rules,
@@ -63,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_passages": op2_passages,
     "op4_mixing": mixing.oracle(),
     "op10_licenses": licenses.oracle(),
 }
