@@ -68,7 +68,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
-    "op2_passages": op2_passages,
     "op4_mixing": mixing.oracle(),
     "op10_licenses": licenses.oracle(),
 }
