@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import chat, html, licenses, lines, mixing, passages, quality, sharding, simhash
+from lodestone.llm import chat, decontamination, html, licenses, lines, mixing, passages, quality, sharding, simhash
 from lodestone.sources.tables import table
 
 SHARDS = 24
@@ -21,6 +21,10 @@ def op2_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.near_duplicate_passages(table(spark, sf_dir, "documents"))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_key")
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -58,6 +62,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_passages": op2_passages,
+    "op3_decontamination": op3_decontamination,
     "op4_mixing": op4_mixing,
     "op5_feistel_shards": op5_feistel_shards,
     "op6_quality_rules": op6_quality_rules,
