@@ -111,6 +111,14 @@ def probabilities(raked: DataFrame, share: float = SHARE) -> DataFrame:
     return ranked.withColumn("probability", p).select(*AXES, "tokens", "weight", "probability")
 
 
+def cell_chances(rows: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, share: float = SHARE, alpha: float = ALPHA, rounds: int = ROUNDS) -> DataFrame:
+    """(source, lang, topic, tokens, weight, probability) for each cell of labelled rows."""
+    cells = materialise(rows.groupBy(*AXES).agg(F.sum("n_tokens").alias("tokens")), "mix-cells")
+    if cells.limit(ONE_TASK + 1).count() <= ONE_TASK:
+        cells = cells.coalesce(1)  # every window below then finds its rows in place
+    return materialise(probabilities(rake(cells, targets, alpha, rounds), share), "mix-chances")
+
+
 def mix(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, share: float = SHARE, alpha: float = ALPHA, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, source, lang, topic, n_tokens, weight, probability, kept) for every row.
 
@@ -119,19 +127,16 @@ def mix(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = Non
     Expected kept tokens are ``share`` of all, less where targets leave values out that the rest can't make up.
     """
     rows = materialise(labelled(docs, id_col, text_col), "mix-rows")
-    cells = materialise(rows.groupBy(*AXES).agg(F.sum("n_tokens").alias("tokens")), "mix-cells")
-    if cells.limit(ONE_TASK + 1).count() <= ONE_TASK:
-        cells = cells.coalesce(1)  # every window below then finds its rows in place
-    chances = materialise(probabilities(rake(cells, targets, alpha, rounds), share), "mix-chances")
+    chances = cell_chances(rows, targets, share, alpha, rounds)
     out = rows.join(chances.drop("tokens"), list(AXES))
-    return out.select("doc_id", *AXES, "n_tokens", F.round("weight", 9).alias("weight"), F.round("probability", 9).alias("probability"), (coin(F.col("doc_id")) < F.col("probability")).alias("kept"))
+    return out.select("doc_id", *AXES, "n_tokens", F.round("weight", 9).alias("weight"), F.round("probability", 9).alias("probability"), (coin(F.col("doc_id")) < F.round("probability", 9)).alias("kept"))
 
 
 def sample(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, share: float = SHARE, alpha: float = ALPHA, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that the mix keeps, columns as they are."""
+    chances = cell_chances(labelled(docs, id_col, text_col), targets, share, alpha, rounds).select(*[F.col(x).alias(f"_{x}") for x in AXES], F.round("probability", 9).alias("_p"))
     src = docs.select("*", F.coalesce("source", F.lit("")).alias("_source"), F.coalesce("lang", F.lit("")).alias("_lang"), topic(F.col(text_col)).alias("_topic"))
-    chances = mix(docs, targets, share, alpha, rounds, id_col, text_col).groupBy(*AXES).agg(F.first("probability").alias("_p"))
-    keyed = src.join(chances.toDF("_source", "_lang", "_topic", "_p"), ["_source", "_lang", "_topic"])
+    keyed = src.join(chances, [f"_{x}" for x in AXES])
     return keyed.where(coin(F.col(id_col)) < F.col("_p")).select(*docs.columns)
 
 
@@ -162,5 +167,5 @@ def oracle(share: float = SHARE, alpha: float = ALPHA, rounds: int = ROUNDS) ->
     ]
     return (
         "WITH " + ",\n".join(ctes) + "\nSELECT doc_id, source, lang, topic, n_tokens, round(weight, 9) AS weight, round(probability, 9) AS probability, "
-        f"('0x' || substr(md5(doc_id::VARCHAR || ':{SEED}'), 1, 8))::UBIGINT / 4294967296.0 < probability AS kept FROM rws JOIN c USING (source, lang, topic)"
+        f"('0x' || substr(md5(doc_id::VARCHAR || ':{SEED}'), 1, 8))::UBIGINT / 4294967296.0 < round(probability, 9) AS kept FROM rws JOIN c USING (source, lang, topic)"
     )
