@@ -9,6 +9,7 @@ from collections.abc import Mapping
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Bytes at the start of a file that decide whether it is binary.
 SNIFF = 8000
@@ -57,7 +58,7 @@ def strip_comments(text: str) -> str:
     return "\n".join(out)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def without_comments(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else strip_comments(t))
 
@@ -125,5 +126,9 @@ def ndjson(text: Column, schema: str) -> Column:
 def shingles(text: Column, size: int) -> Column:
     """Word shingles of a text, space-joined; none for a text with fewer words."""
     words = F.filter(F.split(F.lower(text), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    n = F.size(words)
-    return F.when(n >= size, F.transform(F.sequence(F.lit(1), n - size + 1), lambda i: F.array_join(F.slice(words, i, F.lit(size)), " "))).otherwise(F.array().cast("array<string>"))
+
+    def cut(w: Column) -> Column:
+        n = F.size(w)
+        return F.when(n >= size, F.transform(F.sequence(F.lit(1), n - size + 1), lambda i: F.array_join(F.slice(w, i, F.lit(size)), " "))).otherwise(F.array().cast("array<string>"))
+
+    return F.transform(F.array(words), cut)[0]  # the words of a text are made once, not once for each shingle

@@ -97,7 +97,7 @@ def without_peer_suffix(version: Column) -> Column:
 
 def framework_name(name: Column) -> Column:
     """A target framework as letters and digits: separators go, and zeros at the end of its version."""
-    low = F.lower(F.regexp_replace(name, r"[\s,=.]|version|v(?=\d)", ""))
+    low = F.regexp_replace(F.lower(name), r"[\s,=.]|version|v(?=\d)", "")
     return F.regexp_replace(low, r"(\d)0+$", "$1")
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -111,6 +111,10 @@ def _any(tests: list[Column]) -> Column:
     return out
 
 
+def _matches(glob: str) -> Callable[[Column], Column]:
+    return lambda path: F.rlike(path, F.lit(glob_regex(glob)))
+
+
 def path_allowed(path: Column, include: Iterable[str] = (), exclude: Iterable[str] = ()) -> Column:
     """Whether a walk may enter a folder: not excluded, and included or on the way to what is.
 
@@ -125,8 +129,7 @@ def path_allowed(path: Column, include: Iterable[str] = (), exclude: Iterable[st
     tests = [below(p) for p in in_paths]
     tests += [F.startswith(F.lit(p + "/"), F.concat(path, F.lit("/"))) for p in in_paths]
     for g in in_globs:
-        rx = F.lit(glob_regex(g))
-        tests += [F.rlike(path, rx), F.exists(ancestors(path), lambda a, rx=rx: F.rlike(a, rx))]
+        tests += [F.rlike(path, F.lit(glob_regex(g))), F.exists(ancestors(path), _matches(g))]
         prefix = literal_prefix(g)
         tests.append(F.startswith(F.lit("/".join(prefix) + "/"), F.concat(path, F.lit("/"))) if prefix else F.lit(True))
     return _any(tests) & ~excluded

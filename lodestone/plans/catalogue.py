@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from lodestone.plans import analysis_queries, graph_queries, scalar_queries
+from lodestone.plans.registry import Query
 
-from pyspark.sql import DataFrame, SparkSession
+_REGISTRIES = [m.registry for m in (graph_queries, analysis_queries, scalar_queries)]
 
-from lodestone.plans import graph_queries
-
-_MODULES = (graph_queries,)
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
-ORACLE_SQL: dict[str, str] = {k: v for m in _MODULES for k, v in m.ORACLE_SQL.items()}
+QUERIES: dict[str, Query] = {k: v for r in _REGISTRIES for k, v in r.queries.items()}
+ORACLE_SQL: dict[str, str] = {k: v for r in _REGISTRIES for k, v in r.oracle_sql.items()}

@@ -2,28 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.operators import graph as g
+from lodestone.plans.registry import Registry
 from lodestone.plans.relations import CYCLIC_SQL, LAYERED_SQL, cyclic, key, layered, layered_edges, third_of_sizes
 from lodestone.sources.tables import table
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable:
-    def add(f: Callable) -> Callable:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
+registry = Registry()
+query = registry.query
 
 _L, _C = f"WITH RECURSIVE {LAYERED_SQL}", f"WITH RECURSIVE {CYCLIC_SQL}"
 _EDGES = f"{_L} SELECT src, dst FROM e"
