@@ -4,7 +4,7 @@ Two passes over the pages. The first parses each page, hashes every element subt
 tag or its class, and Spark counts for each host in how many different pages a subtree stands. The second
 parses again, deletes the subtrees that recur on the page's host, and writes out the text of the main element
 block by block. A task holds one page at a time; hosts are never gathered in a task: counts are combined before
-the shuffle, and a hot host in the join of pages with their templates is split by adaptive execution.
+the shuffle, and a hot host is salted in the join of pages with their templates.
 
 A subtree is a template if more than half of the host's different pages hold it, and at least MIN_PAGES. Copies
 of a page count once, so an article copied many times is no template.
@@ -20,9 +20,12 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MIN_PAGES = 8
 SHARE = 0.5
+#: A host with more than this part of all pages is dealt to several tasks.
+PARTS = 500
 
 # Names of HTML elements and of roles, and words that sites use in classes and ids.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -322,9 +325,16 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, share: float = SHARE)
     """
     src = pages.select("page_id", "url", "html", host(F.col("url")).alias("_host"))
     known = site_templates(pages, min_pages, share).withColumnRenamed("host", "_host")
-    rows = src.join(known, "_host", "left").select("page_id", "url", "html", "templates")
-
-    @F.pandas_udf("string")
+    sizes = src.groupBy("_host").agg(F.count("*").alias("n"))
+    total = pages.count()
+    # Hosts of over 1 / PARTS of all rows, fewer than PARTS of them, are dealt to so many tasks as they have such shares.
+    hot = F.broadcast(sizes.where(F.col("n") * PARTS > total).select("_host", F.ceil(F.col("n") * PARTS / max(total, 1)).alias("_parts")))
+    salt = F.coalesce(F.pmod(F.xxhash64("page_id", "url"), F.col("_parts")), F.lit(0).cast("long"))
+    src = src.join(hot, "_host", "left").withColumn("_salt", salt).drop("_parts")
+    known = known.join(hot, "_host", "left").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("_parts"), F.lit(1).cast("long")) - 1))).drop("_parts")
+    rows = src.join(known, ["_host", "_salt"], "left").select("page_id", "url", "html", "templates")
+
+    @F.pandas_udf(T.StringType())
     def text(html_: pd.Series, templates: pd.Series) -> pd.Series:
         return pd.Series([main_text(p, None if t is None else {int(x) for x in t}) for p, t in zip(html_, templates, strict=True)], dtype="object")
 
