@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.operators.components import connected_components
+from lodestone.operators.rows import without
 from lodestone.plans.scratch import materialise
 
 SEED = 42
@@ -60,7 +61,7 @@ def fingerprint(text: Column, size: int = 3) -> Column:
 
 def spanning_links(prints: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
     """Links of a spanning forest of the graph that joins fingerprints at most ``max_bits`` apart."""
-    todo, links = np.unique(prints), []
+    todo, links = np.unique(prints.view(np.uint64)), []  # of signed numbers numpy would count the bits of the absolute value
     while todo.size > 1:
         queue, todo = [todo[0]], todo[1:]
         while queue and todo.size:
@@ -110,8 +111,8 @@ def near_links(prints: DataFrame, fp: str = "fp", max_bits: int = 3, chunk: int
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            links = [x for p in batch["prints"] for x in spanning_links(np.asarray(p, np.int64), max_bits)]
-            yield pd.DataFrame(np.array(links, np.int64).reshape(-1, 2), columns=["a", "b"])
+            links = [x for p in batch["prints"] for x in spanning_links(np.array(p, np.int64), max_bits)]
+            yield pd.DataFrame(np.array(links, np.uint64).view(np.int64).reshape(-1, 2), columns=["a", "b"])
 
     return pairs.unionByName(large.mapInPandas(search, "a long, b long"))
 
@@ -141,5 +142,4 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     Rows with a null id are kept (no id says which of them to drop). Repeated rows of one id stay together.
     """
     ids = simhash_groups(docs, id_col, text_col, size, max_bits)
-    gone = ids.where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    return without(docs, ids.where("doc_id <> component_id"), doc_id=F.col(id_col))
