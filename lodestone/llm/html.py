@@ -17,6 +17,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -298,20 +299,20 @@ def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES, share: float =
     ``share`` of a host's pages hold each entry, so it is at most 1 / share times as long as an average page."""
     src = pages.select(host(F.col("url")).alias("host"), "html")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hosts, sigs, hashes = [], [], []
-            for h, page in zip(batch["host"], batch["html"], strict=True):
-                if page:
-                    root = parse(page)
+            rows, sigs, hashes = [], [], []
+            for row, page in enumerate(batch["html"]):
+                if text := page.as_py():
+                    root = parse(text)
                     prune(root)
                     found = hash_subtrees(root) | {0}  # 0 counts the page itself
-                    hosts += [h] * len(found)
+                    rows += [row] * len(found)
                     sigs += [root.hash] * len(found)
                     hashes += found
-            yield pd.DataFrame({"host": hosts, "sig": sigs, "hash": hashes}).astype({"sig": "int64", "hash": "int64"})
+            yield pa.RecordBatch.from_arrays([batch["host"].take(pa.array(rows, pa.int64())), pa.array(sigs, pa.int64()), pa.array(hashes, pa.int64())], ["host", "sig", "hash"])
 
-    seen = src.mapInPandas(run, "host string, sig long, hash long").distinct().groupBy("host", "hash").agg(F.count("*").alias("n"))
+    seen = src.mapInArrow(run, "host string, sig long, hash long").distinct().groupBy("host", "hash").agg(F.count("*").alias("n"))
     total = seen.where("hash = 0").select("host", F.col("n").alias("pages"))
     often = seen.where(f"hash <> 0 AND n >= {int(min_pages)}").join(total, "host").where(F.col("n") > F.lit(share) * F.col("pages"))
     return often.groupBy("host").agg(F.collect_set("hash").alias("templates"))
