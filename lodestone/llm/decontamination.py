@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.operators.rows import without
 from lodestone.plans.scratch import discard, materialise
 
 COPY = 0.8
@@ -324,5 +325,4 @@ def _matches(rows: DataFrame, items: list[np.ndarray], named: list[tuple], space
 
 def drop_contaminated(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", cosine: float = COSINE) -> DataFrame:
     """The rows of ``docs`` that hold no item of ``bench``, columns as they are."""
-    bad = leaks(docs, bench, id_col, text_col, cosine).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
-    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(text_col) == F.col("_key")), "left_anti")
+    return without(docs, leaks(docs, bench, id_col, text_col, cosine), doc_id=F.col(id_col).cast("long"), text_key=F.xxhash64(text_col))

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lodestone.operators.rows import packed
 from lodestone.plans.scratch import materialise
 
 ROUNDS = 8
@@ -134,10 +135,9 @@ def mix(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = Non
 
 def sample(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, share: float = SHARE, alpha: float = ALPHA, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that the mix keeps, columns as they are."""
-    chances = cell_chances(labelled(docs, id_col, text_col), targets, share, alpha, rounds).select(*[F.col(x).alias(f"_{x}") for x in AXES], F.round("probability", 9).alias("_p"))
-    src = docs.select("*", F.coalesce("source", F.lit("")).alias("_source"), F.coalesce("lang", F.lit("")).alias("_lang"), topic(F.col(text_col)).alias("_topic"))
-    keyed = src.join(chances, [f"_{x}" for x in AXES])
-    return keyed.where(coin(F.col(id_col)) < F.col("_p")).select(*docs.columns)
+    chances = cell_chances(labelled(docs, id_col, text_col), targets, share, alpha, rounds).select(*AXES, F.round("probability", 9).alias("p"))
+    keyed = packed(docs, source=F.coalesce("source", F.lit("")), lang=F.coalesce("lang", F.lit("")), topic=topic(F.col(text_col)), coin=coin(F.col(id_col)))
+    return keyed.join(chances, list(AXES)).where("coin < p").select("row.*")
 
 
 def oracle(share: float = SHARE, alpha: float = ALPHA, rounds: int = ROUNDS) -> str:

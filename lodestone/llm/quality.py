@@ -16,6 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.operators.rows import without
 from lodestone.plans.scratch import materialise
 
 SPACES = " \t\n\x0b\f\r"
@@ -190,5 +191,5 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that the rules keep, columns as they are."""
-    bad = judge(docs, id_col, text_col).where("NOT kept").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
-    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(text_col) == F.col("_key")), "left_anti")
+    bad = judge(docs, id_col, text_col).where("NOT kept")
+    return without(docs, bad, doc_id=F.col(id_col), text_key=F.xxhash64(text_col))
