@@ -1,12 +1,15 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Every text becomes the sequence of its words that the benchmark has too (others are a gap), once, and all later
-passes read those sequences. A randomised SVD of the TF-IDF matrix of all passages (PASSAGE words each) gives a
-latent space: each task multiplies its passages with a random matrix and adds up its part of the product, the
-parts are summed by term in Spark, and only matrices of at most COLUMNS x RANK meet in the driver. Then windows
-slide over every text; a window whose latent cosine with a benchmark item reaches COSINE is a candidate, and is
-verified in place: the longest common subsequence of the item and the window must hold COPY of the item's words,
-or PARAPHRASE of them and the item's answer, its last ANSWER words.
+Every text becomes the sequence of its words that the benchmark has too (others are a gap), once; later passes read
+those sequences. One pass over all passages (PASSAGE words each) counts the passages of every term and sketches the
+term counts: each passage is added, with a random sign, to one of SKETCH rows. Weighted by inverse passage frequency
+the summed sketch has the row space of the TF-IDF matrix, as in randomised SVD; its right singular vectors are the
+latent space. Parts are summed by term in Spark, and only the sketch (terms x SKETCH) meets in the driver.
+
+Then windows slide over every text. A window whose latent cosine with a benchmark item reaches COSINE is a
+candidate. A candidate that lacks too many of the item's different words, by a bit set, can't pass; the others are
+verified in place: the longest common subsequence of item and window must hold COPY of the item's words, or
+PARAPHRASE of them and the item's answer, its last ANSWER words.
 
 Documents are never joined with each other or moved by key, so copies and hot sources cost what other rows cost.
 The benchmark is the query set; it goes over the documents in blocks of about BLOCK words.
@@ -15,11 +18,12 @@ The benchmark is the query set; it goes over the documents in blocks of about BL
 from __future__ import annotations
 
 import string
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,19 +38,19 @@ LEAST = 8
 #: Longer items are cut into parts of at most so many words; a document that holds a part leaks the item.
 PART = 64
 PASSAGE = 32
-COLUMNS = 8192
+SKETCH = 128
 RANK = 64
-COSINE = 0.45
-BLOCK = 100_000
-#: Words between the starts of windows; lengths of windows, of which an item takes the least that holds it.
-STRIDE = 4
-LENGTHS = (16, 24, 32, 48, 64)
-#: Words of a text that are worked on at once; parts of longer texts overlap by OVERLAP.
-CHUNK = 1 << 17
+COSINE = 0.25
+#: Words of the benchmark in one block, which bounds its terms.
+BLOCK = 50_000
+#: Words of a cell. Windows start at every cell, and an item takes the least number of cells that surely hold it.
+CELL = 8
+GAP = 10
+#: Words of texts that are worked on at once; parts of longer texts overlap by OVERLAP.
+CHUNK = 1 << 16
 OVERLAP = 256
 _TILE = 4096
-#: Sums are kept as whole multiples of this, so that their order does not matter.
-_UNIT = 2.0**-20
+_BITS = 4
 _SPACED = bytes(c if chr(c) not in string.punctuation + "".join(map(chr, range(33))) else 32 for c in range(256))
 
 
@@ -123,147 +127,108 @@ def _chunks(batches: Iterator[pd.DataFrame], size: int = CHUNK) -> Iterator[tupl
         yield done()
 
 
-def _summed(rows: DataFrame, work: Callable[[Iterator[pd.DataFrame]], np.ndarray], width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row numbers and rows of a matrix whose parts ``work`` makes of each task's sequences."""
+def statistics(rows: DataFrame, size: int, seed: int = 5) -> tuple[np.ndarray, np.ndarray, int]:
+    """(passages that hold each term, sketch of term counts, all passages)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        part = np.rint(work(batches) / _UNIT).astype(np.int64)
-        some = np.flatnonzero(part.any(axis=1))
-        for at in range(0, some.size, 1024):
-            yield pd.DataFrame({"i": some[at : at + 1024].astype(np.int32), "v": list(part[some[at : at + 1024]])})
-
-    sums = rows.select("terms").mapInPandas(run, "i int, v array<long>").groupBy("i").agg(*[F.sum(F.col("v")[j]).alias(f"s{j}") for j in range(width)])
-    got = sums.toPandas().sort_values("i")  # at most COLUMNS or, for counts, BLOCK rows
-    return got["i"].to_numpy(np.int64), got.drop(columns="i").to_numpy(np.float64) * _UNIT
-
-
-def _passage_counts(rows: DataFrame, size: int) -> tuple[np.ndarray, int]:
-    """Passages that hold each term, and all passages."""
-
-    def work(batches: Iterator[pd.DataFrame]) -> np.ndarray:
-        out = np.zeros((size + 1, 1))
+        out = np.zeros((size + 1, SKETCH + 1), np.int64)
+        flat = np.zeros(size * SKETCH)
+        seen = TaskContext.get().partitionId() << 40
         for terms, passage in _chunks(batches):
-            out[size] += passage[-1] + 1
+            n = int(passage[-1]) + 1
+            out[size, 0] += n
             ok = terms >= 0
-            pairs = np.unique(passage[ok] * size + terms[ok])
-            out[:size, 0] += np.bincount(pairs % size, minlength=size)
-        return out
+            t, p = terms[ok].astype(np.int64), passage[ok]
+            out[:size, 0] += np.bincount(np.unique(p * size + t) % size, minlength=size)
+            drawn = np.random.default_rng((seed, seen)).integers(0, 2 * SKETCH, n)  # row and sign of each passage
+            flat += np.bincount(t * SKETCH + drawn[p] // 2, weights=1.0 - 2 * (drawn[p] % 2), minlength=flat.size)
+            seen += 1
+        out[:size, 1:] = flat.reshape(size, SKETCH)
+        some = np.flatnonzero(out.any(axis=1))
+        for at in range(0, some.size, 1024):
+            yield pd.DataFrame({"i": some[at : at + 1024].astype(np.int32), "v": list(out[some[at : at + 1024]])})
 
-    i, v = _summed(rows, work, 1)
-    out = np.zeros(size + 1)
-    out[i] = v[:, 0]
-    return out[:size], int(out[size])
+    sums = rows.select("terms").mapInPandas(run, "i int, v array<long>").groupBy("i").agg(*[F.sum(F.col("v")[j]).alias(f"s{j}") for j in range(SKETCH + 1)])
+    got = sums.toPandas()  # a row for each term of the block
+    out = np.zeros((size + 1, SKETCH + 1))
+    out[got["i"].to_numpy(np.int64)] = got.drop(columns="i").to_numpy(np.float64)
+    return out[:size, 0], out[:size, 1:], int(out[size, 0])
 
 
-def latent_space(rows: DataFrame, size: int, rank: int = RANK, columns: int = COLUMNS, seed: int = 5) -> np.ndarray:
-    """A row for each term: its coordinates in the whitened latent space, times its weight.
+def latent_space(counts: np.ndarray, sketch: np.ndarray, total: int, rank: int = RANK) -> np.ndarray:
+    """A row for each term: its direction in the whitened latent space, as long as its weight.
 
-    Randomised SVD: Z = A'(A G) for a random G, Q an orthonormal basis of Z, and the eigenvectors of (AQ)'(AQ) turn
-    Q into right singular vectors. Terms beyond ``columns`` share columns of A.
+    Without the common length one rare word beside a passage could outweigh all of it.
     """
-    counts, total = _passage_counts(rows, size)
-    weight = (np.log((total + 1) / (counts + 1)) + 0.1).astype(np.float32)
-    columns = min(columns, size)
-    rank = min(rank, columns)
-    col = np.arange(size) % columns
-    scale = 1 / max(1.0, float(total)) ** 0.5
-
-    def projected(terms: np.ndarray, passage: np.ndarray, by_term: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rows of A times a matrix, and the passages they belong to."""
-        starts = np.flatnonzero(np.append(True, passage[1:] != passage[:-1]))
-        return np.add.reduceat(by_term[terms], starts, axis=0), starts
-
-    def sketch(batches: Iterator[pd.DataFrame]) -> np.ndarray:
-        noise = np.random.default_rng(seed).standard_normal((columns, rank)).astype(np.float32)
-        by_term = noise[col] * weight[:, None] * np.float32(scale)
-        out = np.zeros((columns, rank))
-        for terms, passage in _chunks(batches):
-            ok = terms >= 0
-            terms, passage = terms[ok], passage[ok]
-            if not terms.size:
-                continue
-            y, starts = projected(terms, passage, by_term)
-            row = np.repeat(np.arange(starts.size), np.diff(np.append(starts, terms.size)))
-            order = np.argsort(col[terms], kind="stable")
-            c = col[terms][order]
-            first = np.flatnonzero(np.append(True, c[1:] != c[:-1]))
-            out[c[first]] += np.add.reduceat(y[row[order]] * weight[terms[order]][:, None], first, axis=0)
-        return out
-
-    z = np.zeros((columns, rank))
-    i, v = _summed(rows, sketch, rank)
-    z[i] = v
-    basis = np.linalg.qr(z)[0].astype(np.float32)
-
-    def gram(batches: Iterator[pd.DataFrame]) -> np.ndarray:
-        by_term = basis[col] * weight[:, None]
-        out = np.zeros((rank, rank))
-        for terms, passage in _chunks(batches):
-            ok = terms >= 0
-            if ok.any():
-                y, _ = projected(terms[ok], passage[ok], by_term)
-                out += y.T.astype(np.float64) @ y * scale**2
-        return out
-
-    g = np.zeros((rank, rank))
-    i, v = _summed(rows, gram, rank)
-    g[i] = v
-    values, turn = np.linalg.eigh(g)
-    sigma = np.sqrt(np.maximum(values, max(values[-1], 1e-12) * 1e-6))
-    return (basis[col] @ (turn / sigma).astype(np.float32)) * weight[:, None]
-
-
-def _unit(x: np.ndarray) -> np.ndarray:
-    return x / np.maximum(np.linalg.norm(x, axis=-1, keepdims=True), 1e-12)
+    weight = np.log((total + 1) / (counts + 1)) + 0.1
+    _, sigma, right = np.linalg.svd((sketch * weight[:, None]).T, full_matrices=False)
+    rank = min(rank, sigma.size)
+    place = right[:rank].T / np.maximum(sigma[:rank], max(sigma[0], 1e-12) * 1e-6)
+    return (place / np.maximum(np.linalg.norm(place, axis=1, keepdims=True), 1e-12) * weight[:, None]).astype(np.float32)
 
 
 class Search:
-    """Items by window length, and the search for them in one text."""
+    """The items by window length, and the search for them in texts."""
 
     def __init__(self, items: list[np.ndarray], space: np.ndarray, cosine: float = COSINE):
-        self.items, self.space, self.cosine = items, np.vstack([space, np.zeros((1, space.shape[1]), space.dtype)]), cosine
-        lengths = np.array([x.size for x in items])
-        place = np.minimum(np.searchsorted(LENGTHS, lengths), len(LENGTHS) - 1)
-        self.classes = [(LENGTHS[c], np.flatnonzero(place == c)) for c in np.unique(place)]
-        self.vectors = [_unit(np.stack([space[items[i]].sum(axis=0) for i in who])).astype(np.float32) for _, who in self.classes]
-
-    def candidates(self, terms: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
-        """(items, starts of windows, length of these) for the windows near an item."""
-        grid = np.append(terms, np.full(-terms.size % STRIDE, -1, np.int32))
-        cells = self.space[grid].reshape(-1, STRIDE, self.space.shape[1]).sum(axis=1)
-        run = np.zeros((cells.shape[0] + 1, cells.shape[1]))
-        np.cumsum(cells, axis=0, dtype=np.float64, out=run[1:])
-        for (length, who), vectors in zip(self.classes, self.vectors, strict=True):
-            # windows may hang over either end of the text, so that a short text has one too
-            n = length // STRIDE
-            start = np.arange(-(n - 1), cells.shape[0])
-            for at in range(0, start.size, _TILE):
-                s = start[at : at + _TILE]
-                w = _unit(run[np.minimum(s + n, cells.shape[0])] - run[np.maximum(s, 0)]).astype(np.float32)
+        self.items, self.cosine = items, cosine
+        self.space = np.vstack([space, np.zeros((1, space.shape[1]), space.dtype)])
+        drawn = np.random.default_rng(1).integers(0, 64 * _BITS, space.shape[0])
+        self.bits = np.zeros((space.shape[0] + 1, _BITS), np.uint64)
+        self.bits[np.arange(drawn.size), drawn // 64] = np.uint64(1) << (drawn % 64).astype(np.uint64)
+        self.own = np.stack([np.bitwise_or.reduce(self.bits[x], axis=0) for x in items])
+        size = np.array([x.size for x in items])
+        self.lack = size - np.ceil(PARAPHRASE * size - 1e-9).astype(np.int64)  # words that a leak may lack
+        cells = -(-(size + CELL - 1) // CELL)
+        self.classes = [(int(c), np.flatnonzero(cells == c)) for c in np.unique(cells)]
+        sums = np.stack([space[x].sum(axis=0) for x in items])
+        self.vectors = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12)
+
+    def candidates(self, grid: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+        """(items, first cells of windows, cells of these) for windows of ``grid``, whole cells of terms."""
+        cells = np.take(self.space, grid, axis=0).reshape(-1, CELL, self.space.shape[1]).sum(axis=1)
+        bits = np.take(self.bits, grid, axis=0).reshape(-1, CELL, _BITS)
+        while bits.shape[1] > 1:
+            bits = bits[:, ::2] | bits[:, 1::2]
+        bits = bits[:, 0]
+        w, wide = cells, np.vstack([bits[:1], bits[:-1]]) | bits  # wide: a cell more on either side
+        wide[:-1] |= bits[1:]
+        classes = dict(self.classes)
+        for n in range(1, max(classes) + 1):
+            if n > 1:
+                w = w[:-1] + cells[n - 1 :]
+                wide = wide[:-1].copy()
+                wide[: bits.shape[0] - n] |= bits[n:]
+            who = classes.get(n)
+            if who is None:
+                continue
+            least = self.cosine * np.sqrt(np.einsum("ij,ij->i", w, w)) + 1e-9
+            for at in range(0, w.shape[0], _TILE):
                 for j in range(0, who.size, _TILE):
-                    near, which = np.nonzero(w @ vectors[j : j + _TILE].T >= self.cosine)
-                    if near.size:
-                        yield who[j + which], s[near] * STRIDE, length
-
-    def found(self, terms: np.ndarray, base: int = 0) -> dict[int, tuple]:
-        """Item -> (words in common, answer there, first word, word after the last) of its best window."""
-        out: dict[int, tuple] = {}
-        for who, starts, length in self.candidates(terms):
-            order = np.argsort(who, kind="stable")
-            cut = np.flatnonzero(np.append(True, who[order][1:] != who[order][:-1]))
-            for a, b in zip(cut, np.append(cut[1:], who.size), strict=True):
-                i, at = int(who[order[a]]), starts[order[a:b]]
-                item = self.items[i]
-                more = item.size // 4 + STRIDE
-                low, high = np.maximum(at - more, 0), np.minimum(at + length + more, terms.size)
-                left, right = int(low.min()), int(high.max())
-                hits = np.append(0, np.cumsum(np.isin(terms[left:right], item)))
-                worth = hits[high - left] - hits[low - left] >= PARAPHRASE * item.size
-                for s, e in zip(low[worth].tolist(), high[worth].tolist(), strict=True):
-                    common, answer, leak = judge(item, terms[s:e])
-                    if leak:
-                        new = (common, answer, -(base + s), base + e)
-                        out[i] = max(out.get(i, new), new)
+                    some = who[j : j + _TILE]
+                    near, which = np.nonzero(w[at : at + _TILE] @ self.vectors[some].T >= least[at : at + _TILE, None])
+                    near, which = near + at, some[which]
+                    ok = np.bitwise_count(self.own[which] & ~wide[near]).sum(axis=1) <= self.lack[which]
+                    if ok.any():
+                        yield which[ok], near[ok], n
+
+    def found(self, texts: list[np.ndarray]) -> dict[tuple[int, int], tuple]:
+        """(text, item) -> (words in common, answer there, minus the first word, word after the last) of the best window."""
+        padded = [-(-x.size // CELL) + GAP for x in texts]  # windows hang over both ends and never hold two texts
+        first = np.cumsum([GAP, *padded])
+        grid = np.full(int(first[-1]) * CELL, -1, np.int32)
+        for x, at in zip(texts, first, strict=False):
+            grid[at * CELL : at * CELL + x.size] = x
+        out: dict[tuple[int, int], tuple] = {}
+        for which, near, n in self.candidates(grid):
+            text = np.maximum(np.searchsorted(first, near + n, side="left") - 1, 0)  # the last text that starts before the window's end
+            for i, s, t in zip(which.tolist(), near.tolist(), np.minimum(text, len(texts) - 1).tolist(), strict=True):
+                low = max(0, (s - 1 - int(first[t])) * CELL)
+                high = min(texts[t].size, (s + n + 1 - int(first[t])) * CELL)
+                common, answer, leak = judge(self.items[i], texts[t][low:high])
+                if leak:
+                    new = (common, answer, -low, high)
+                    out[t, i] = max(out.get((t, i), new), new)
         return out
 
 
@@ -295,7 +260,7 @@ def leaks(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: s
         known = {w: i for i, w in enumerate(sorted({w for t in texts for w in t}))}
         items = [np.array([known[w] for w in t], np.int32) for t in texts]
         rows = materialise(sequences(docs, known, id_col, text_col), "bench-sequences")
-        space = latent_space(rows, len(known))
+        space = latent_space(*statistics(rows, len(known)))
         found = materialise(_matches(rows, items, named, space, cosine, schema), "bench-leaks")
         discard(rows)
         out = found if out is None else out.unionByName(found)
@@ -306,18 +271,32 @@ def _matches(rows: DataFrame, items: list[np.ndarray], named: list[tuple], space
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         search = Search(items, space, cosine)
         for batch in batches:
-            rows, out = [], []
+            best: dict[tuple[int, int], tuple] = {}
+            held: list[tuple[int, int, np.ndarray]] = []  # row, offset, part of its terms
+
+            def done() -> None:
+                for (t, i), (common, answer, start, end) in search.found([x for _, _, x in held]).items():
+                    row, at, _ = held[t]
+                    new = (common, answer, start - at, end + at)
+                    best[row, i] = max(best.get((row, i), new), new)
+                held.clear()
+
+            words_held = 0
             for row, raw in enumerate(batch["terms"]):
                 terms = np.frombuffer(raw.as_py(), np.int32)
-                best: dict[int, tuple] = {}
                 for at in range(0, max(1, terms.size - OVERLAP), CHUNK - OVERLAP):
-                    for i, new in search.found(terms[at : at + CHUNK], at).items():
-                        best[i] = max(best.get(i, new), new)
-                rows += [row] * len(best)
-                out += [(*named[i], items[i].size, common, answer, -start, end) for i, (common, answer, start, end) in sorted(best.items())]
+                    held.append((row, at, terms[at : at + CHUNK]))
+                    words_held += held[-1][2].size + GAP * CELL
+                    if words_held >= CHUNK:
+                        done()
+                        words_held = 0
+            if held:
+                done()
+            keys = sorted(best)
+            out = [(*named[i], items[i].size, best[row, i][0], best[row, i][1], -best[row, i][2], best[row, i][3]) for row, i in keys]
             cols = list(zip(*out, strict=True)) or [()] * 7
             kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.int32(), pa.int32()]
-            took = pa.array(rows, pa.int64())
+            took = pa.array([row for row, _ in keys], pa.int64())
             yield pa.RecordBatch.from_arrays([batch["doc_id"].take(took), batch["text_key"].take(took), *map(pa.array, cols, kinds)], [x.split()[0] for x in schema.split(", ")])
 
     return rows.where(F.length("terms") > 0).mapInArrow(run, schema)
