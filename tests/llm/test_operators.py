@@ -470,3 +470,15 @@ def test_licenses(spark):
     got = {r.doc_id: r.licenses for r in licenses.scan(documents(spark, texts)).collect()}
     assert got == {1: "MIT", 2: "MIT", 3: "Apache-2.0", 4: "", 5: "", 6: "", 7: "CC-BY-NC-4.0|MIT"}
     assert licenses.scan(odd_documents(spark)).count() == 7 and licenses.scan(odd_documents(spark).limit(0)).count() == 0
+
+
+def test_clean_part_of_a_worn_passage_counts():
+    """A stretch that is not similar enough as a whole still holds the part that is."""
+    rng = np.random.default_rng(0)
+    draw = lambda n: rng.integers(0, 1 << 60, n).astype(np.uint64)
+    same, worn = draw(60), draw(60)
+    other = worn.copy()
+    other[::8] = draw(8)
+    other[4::8] = draw(7)
+    found = passages.aligned(np.concatenate([worn, same]), np.concatenate([other, same]), 46)
+    assert len(found) == 1 and found[0][3] == 119 and found[0][2] <= 60 and found[0][4] >= 0.8
