@@ -23,6 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestone.plans.scratch import materialise
+
 MIN_PAGES = 8
 SHARE = 0.5
 #: A host with more than this part of all pages is dealt to several tasks.
@@ -313,8 +315,9 @@ def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES, share: float =
             yield pa.RecordBatch.from_arrays([batch["host"].take(pa.array(rows, pa.int64())), pa.array(sigs, pa.int64()), pa.array(hashes, pa.int64())], ["host", "sig", "hash"])
 
     seen = src.mapInArrow(run, "host string, sig long, hash long").distinct().groupBy("host", "hash").agg(F.count("*").alias("n"))
+    seen = materialise(seen.where(f"hash = 0 OR n >= {int(min_pages)}"), "site-subtrees")  # pages are parsed once for it
     total = seen.where("hash = 0").select("host", F.col("n").alias("pages"))
-    often = seen.where(f"hash <> 0 AND n >= {int(min_pages)}").join(total, "host").where(F.col("n") > F.lit(share) * F.col("pages"))
+    often = seen.where("hash <> 0").join(total, "host").where(F.col("n") > F.lit(share) * F.col("pages"))
     return often.groupBy("host").agg(F.collect_set("hash").alias("templates"))
 
 
