@@ -77,7 +77,7 @@ def distance(a, b):
 def line_print(n):
     words = [w for w in n.split(" ") if len(w) >= 4] or n.split(" ")
     ones = Counter(k for w in words for k in range(64) if xxhash.xxh64_intdigest(w.encode(), 42) >> k & 1)
-    return sum(1 << k for k, c in ones.items() if 2 * c > len(words))
+    return sum(1 << k for k, c in ones.items() if 2 * c > len(words) and k < 63)
 
 
 def test_lines_match_all_pairs(spark):
@@ -94,6 +94,17 @@ def test_lines_match_all_pairs(spark):
     assert {tuple(r) for r in got} == want
 
 
+def test_long_lines(spark):
+    """Over LETTERS edits count in words; over SHORT words the counters are summed in a group."""
+    rng = random.Random(21)
+    near, many = prose(rng, 300), prose(rng, 1500)
+    texts = [near, near.replace(" ", " edit ", 1), many, many + " tail", prose(rng, 300), many]
+    got = {r.doc_id: r.keep for r in lines.line_groups(documents(spark, texts)).collect()}
+    assert got == {1: True, 2: False, 3: True, 4: False, 5: True, 6: False}
+    prints = {r.h1: r.fp for r in lines.fingerprints(lines.line_rows(documents(spark, texts))).collect()}
+    assert set(prints.values()) == {line_print(t) for t in texts}
+
+
 def test_lines_odd_and_empty(spark):
     odd = odd_documents(spark)
     out = lines.dedup_lines(odd)
