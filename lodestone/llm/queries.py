@@ -14,7 +14,7 @@ SHARDS = 24
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.drops(lines.line_groups(table(spark, sf_dir, "documents")))
+    return lines.drops(lines.line_groups(table(spark, sf_dir, "documents"), runs=lines.RUNS))
 
 
 def op2_passages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -119,6 +119,25 @@ def test_lines_common_line_keeps_first_only(spark):
     assert sum("terms of use" in t for t in out.values()) == 1 and "terms of use" in out[1]
 
 
+@pytest.mark.parametrize(("n_words", "edits", "least"), [(5, 1, 1.0), (6, 1, 1.0), (12, 1, 1.0), (12, 2, 1.0), (20, 1, 1.0), (20, 4, 0.9), (40, 1, 1.0), (40, 8, 0.9)])
+def test_lines_with_changed_words(spark, n_words, edits, least):
+    """Near copies by edit similarity alone: no fingerprint decides what is compared."""
+    rng = random.Random(100 * n_words + edits)
+    base = [prose(rng, n_words) for _ in range(100)]
+    near = []
+    for b in base:
+        w = b.split()
+        for k in rng.sample(range(n_words), edits):
+            w[k] = "".join(reversed(w[k][:4])) + w[k][4:]
+        near.append(" ".join(w))
+    alike = [i for i, (a, b) in enumerate(zip(base, near, strict=True)) if a != b and 5 * distance(a, b) <= max(len(a), len(b))]
+    assert len(alike) > 50
+    got = {r.doc_id for r in lines.line_groups(documents(spark, base + near, 0), runs=lines.RUNS).where("NOT keep").collect()}
+    caught = sum(100 + i in got for i in alike) / len(alike)
+    print(f"recall of {n_words} words, {edits} changed: {caught:.3f} of {len(alike)}")
+    assert caught >= least
+
+
 # 2: passages
 
 
