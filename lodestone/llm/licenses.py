@@ -35,6 +35,16 @@ SENTENCES: dict[str, str] = {
     "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.": "lgpl21Plus",
     "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version.": "lgpl3Plus",
     "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.": "gnuNoWarranty",
+    # what sentence marks leave of the GNU sentences above
+    "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation": "gplTerms",
+    "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.": "gpl3Terms",
+    "you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation.": "gpl2OnlyTerms",
+    "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation": "lgplTerms",
+    "either version 2 of the License, or (at your option) any later version.": "gnuV2Plus",
+    "either version 2.1 of the License, or (at your option) any later version.": "gnuV21Plus",
+    "either version 3 of the License, or (at your option) any later version.": "gnuV3Plus",
+    "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY": "gnuUseful",
+    "without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.": "gnuImplied",
     "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.": "mpl2",
     "This Source Code Form is subject to the terms of the Mozilla Public License, v.": "mpl2Head",
     "This is free and unencumbered software released into the public domain.": "unlicense",
@@ -86,6 +96,13 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("Apache-2.0", ("apache2Grant",)),
     ("GPL-2.0-or-later", ("gpl2Plus", "gnuNoWarranty")),
     ("GPL-3.0-or-later", ("gpl3Plus", "gnuNoWarranty")),
+    ("GPL-2.0-or-later", ("gplTerms", "gnuV2Plus", "gnuUseful", "gnuImplied")),
+    ("GPL-3.0-or-later", ("gpl3Terms", "gnuUseful", "gnuImplied")),
+    ("GPL-2.0-or-later", ("gplTerms", "gnuV2Plus")),
+    ("GPL-3.0-or-later", ("gpl3Terms",)),
+    ("GPL-2.0-only", ("gpl2OnlyTerms",)),
+    ("LGPL-2.1-or-later", ("lgplTerms", "gnuV21Plus")),
+    ("LGPL-3.0-or-later", ("lgplTerms", "gnuV3Plus")),
     ("GPL-2.0-only", ("gpl2Only",)),
     ("GPL-2.0-or-later", ("gpl2Plus",)),
     ("GPL-3.0-or-later", ("gpl3Plus",)),

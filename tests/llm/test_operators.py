@@ -6,6 +6,7 @@ import hashlib
 import itertools
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -502,6 +503,19 @@ def test_licenses(spark):
     assert licenses.scan(odd_documents(spark)).count() == 7 and licenses.scan(odd_documents(spark).limit(0)).count() == 0
 
 
+def test_every_license_rule_wrapped(spark):
+    """Each rule's sentences as one paragraph in lines of 72 columns, plain and as a comment."""
+    sentence = {}
+    for text, name in licenses.SENTENCES.items():
+        sentence.setdefault(name, text)
+    full = lambda t: t if t[-1] in ".:;" else t + (";" if "either version" not in t else ".")
+    rules = [(name, " ".join(full(sentence[i]) for i in ids)) for name, ids in licenses.RULES]
+    texts = [t for _, body in rules for t in (textwrap.fill(body, 72), textwrap.fill(body, 72, initial_indent=" * ", subsequent_indent=" * "))]
+    got = {r.doc_id: r.licenses for r in licenses.scan(documents(spark, texts)).collect()}
+    missed = [(rules[i // 2][0], texts[i][:60]) for i in range(len(texts)) if rules[i // 2][0] not in got[i + 1].split("|")]
+    assert not missed
+
+
 def test_clean_part_of_a_worn_passage_counts():
     """A stretch that is not similar enough as a whole still holds the part that is."""
     rng = np.random.default_rng(0)
