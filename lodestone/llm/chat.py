@@ -7,8 +7,9 @@ and named filters. There is no call, no attribute of Python objects and no loop
 reach nothing but the values it is given. It is parsed to a syntax tree, constant parts are folded, and the
 tree becomes Python closures that append (piece, in_generation) to a list.
 
-Texts are escaped before they meet the markers: a backslash is doubled and one is put inside each control
-string, so no control string survives in a text, and :func:`unescape` gives the text back exactly.
+Texts are escaped before they meet the markers: a backslash is doubled, and one is put before every ``#`` that follows
+another and inside every end mark, so no control string survives in a text, however many ``#`` stand in a row, and
+:func:`unescape` gives the text back exactly.
 """
 
 from __future__ import annotations
@@ -18,13 +19,14 @@ import operator
 import re
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Control strings; the first character of each is followed by a backslash inside texts.
+#: Control strings; none of them stands inside an escaped text.
 END = "</turn>"
 CONTROLS = ("###", END)
+_BREAK = re.compile(rf"#(?=#)|{END[0]}(?={END[1:]})")
 TEMPLATE = (
     "{% for m in messages %}### {{ m.role | title | escape_role }}: "
     "{% if m.role == 'assistant' %}{% generation %}{{ m.text | escape }}{% endgeneration %}{% else %}{{ m.text | escape }}{% endif %}"
@@ -33,10 +35,7 @@ TEMPLATE = (
 
 
 def escape(text: str) -> str:
-    text = text.replace("\\", "\\\\")
-    for c in CONTROLS:
-        text = text.replace(c, f"{c[0]}\\{c[1:]}")
-    return text
+    return _BREAK.sub(r"\g<0>\\", text.replace("\\", "\\\\"))
 
 
 def escape_role(role: str) -> str:
@@ -387,6 +386,7 @@ def read_back(formatted: str) -> list[tuple[str, str]]:
 
 
 FORMATTED = "conv_id long, formatted string, loss_spans array<struct<start:long,end:long>>"
+_FORMATTED = pa.schema({"conv_id": pa.int64(), "formatted": pa.string(), "loss_spans": pa.list_(pa.struct({"start": pa.int64(), "end": pa.int64()}))})
 
 
 def format_conversations(turns: DataFrame, template: str = TEMPLATE) -> DataFrame:
@@ -403,47 +403,44 @@ def format_conversations(turns: DataFrame, template: str = TEMPLATE) -> DataFram
         .sortWithinPartitions("conv_id", "turn", "role", "text")
     )
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         render = compile_template(template)
 
-        def done(conv: int | None, messages: list[dict]) -> tuple:
+        def done(conv: int | None, messages: list[dict]) -> dict:
             text, spans = render(messages)
-            return (conv, text, [{"start": a, "end": b} for a, b in spans])
+            return {"conv_id": conv, "formatted": text, "loss_spans": [{"start": a, "end": b} for a, b in spans]}
 
         conv, messages = None, []
         for batch in batches:
             out = []
-            for c, role, text in zip(batch["conv_id"], batch["role"], batch["text"], strict=True):
-                c = None if pd.isna(c) else int(c)
+            for c, role, text in zip(batch["conv_id"].to_pylist(), batch["role"].to_pylist(), batch["text"].to_pylist(), strict=True):
                 if messages and c != conv:
                     out.append(done(conv, messages))
                     messages = []
                 conv = c
                 messages.append({"role": role, "text": text})
             if out:
-                yield _frame(out)
+                yield pa.RecordBatch.from_pylist(out, _FORMATTED)
         if messages:
-            yield _frame([done(conv, messages)])
+            yield pa.RecordBatch.from_pylist([done(conv, messages)], _FORMATTED)
 
-    return rows.mapInPandas(run, FORMATTED)
-
-
-def _frame(rows: list[tuple]) -> pd.DataFrame:
-    return pd.DataFrame({"conv_id": pd.array([r[0] for r in rows], dtype="Int64"), "formatted": [r[1] for r in rows], "loss_spans": [r[2] for r in rows]})
+    return rows.mapInArrow(run, FORMATTED)
 
 
 def digest(formatted: DataFrame) -> DataFrame:
     """What can be read back from formatted conversations: turns and the text under the loss mask, as digests."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for conv, text, spans in zip(batch["conv_id"], batch["formatted"], batch["loss_spans"], strict=True):
+            for conv, text, spans in zip(batch["conv_id"].to_pylist(), batch["formatted"].to_pylist(), batch["loss_spans"].to_pylist(), strict=True):
                 turns = read_back(text)
                 loss = "".join(unescape(text[s["start"] : s["end"]]) for s in spans)
                 whole = "".join(f"{r}\n{t}\n" for r, t in turns)
                 out.append((conv, len(turns), hashlib.sha256(whole.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(text)))
-            frame = pd.DataFrame(out, columns=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
-            yield frame.astype({"conv_id": "Int64"})
+            yield pa.RecordBatch.from_pylist([dict(zip(_DIGEST.names, row, strict=True)) for row in out], _DIGEST)
+
+    return formatted.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+
 
-    return formatted.mapInPandas(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+_DIGEST = pa.schema({"conv_id": pa.int64(), "n_turns": pa.int64(), "turns_sha256": pa.string(), "loss_chars": pa.int64(), "loss_sha256": pa.string(), "formatted_chars": pa.int64()})
