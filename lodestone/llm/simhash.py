@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from lodestone.operators.components import connected_components
 from lodestone.operators.rows import without
-from lodestone.plans.scratch import materialise
+from lodestone.plans.scratch import discard, materialise
 
 SEED = 42
 #: Widths of the blocks, low bits first.
@@ -114,7 +114,19 @@ def near_links(prints: DataFrame, fp: str = "fp", max_bits: int = 3, chunk: int
             links = [x for p in batch["prints"] for x in spanning_links(np.array(p, np.int64), max_bits)]
             yield pd.DataFrame(np.array(links, np.uint64).view(np.int64).reshape(-1, 2), columns=["a", "b"])
 
-    return pairs.unionByName(large.mapInPandas(search, "a long, b long"))
+    links = materialise(pairs.unionByName(large.mapInPandas(search, "a long, b long")), "simhash-links")
+    discard(shared)
+    return links
+
+
+def _rooted(docs: DataFrame, id_col: str, text_col: str, size: int, max_bits: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text_key, fp) of every row and (fp, root): the fingerprint that names the group of each fingerprint."""
+    prints = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_key"), fingerprint(F.col(text_col), size).alias("fp"))
+    prints = materialise(prints, "simhash")
+    distinct = prints.select("fp").distinct()
+    near = connected_components(near_links(distinct, "fp", max_bits))
+    named = distinct.join(near.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("component", "fp").alias("root"))
+    return prints, named
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, max_bits: int = 3) -> DataFrame:
@@ -125,10 +137,9 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     minimum (a group of null ids only has a null component); repeated rows are kept; an empty table gives
     an empty result; other columns are ignored.
     """
-    prints = materialise(docs.select(F.col(id_col).alias("doc_id"), fingerprint(F.col(text_col), size).alias("fp")), "simhash")
+    prints, named = _rooted(docs, id_col, text_col, size, max_bits)
     firsts = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    near = connected_components(near_links(firsts, "fp", max_bits))
-    named = firsts.join(near.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("root"))
+    named = materialise(named.join(firsts, "fp"), "simhash-named")
     smallest = named.groupBy("root").agg(F.min("first").alias("component_id"))
     return (
         prints.join(named.join(smallest, "root").select("fp", "component_id"), "fp")
@@ -137,9 +148,20 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, max_bits: int = 3) -> DataFrame:
-    """``docs`` with one document of each group: the one with the smallest id. Columns are kept as they are.
+    """``docs`` with one document of each group, columns as they are.
 
-    Rows with a null id are kept (no id says which of them to drop). Repeated rows of one id stay together.
+    The one with the smallest id stays, of several texts with that id the one with the smallest hash. Rows are told
+    apart by (id, hash of the text), so an id that stands beside two texts loses only the one that has a near copy.
+    Null ids come last: they stay only where their group has no other. Exactly repeated rows share one fate.
+    Null and empty texts are near copies of each other; an empty table gives an empty result.
     """
-    ids = simhash_groups(docs, id_col, text_col, size, max_bits)
-    return without(docs, ids.where("doc_id <> component_id"), doc_id=F.col(id_col))
+    prints, named = _rooted(docs, id_col, text_col, size, max_bits)
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
+    rows = prints.join(named, "fp").select("root", place.alias("place")).distinct()
+    rows = materialise(rows, "simhash-rows")
+    first = rows.groupBy("root").agg(F.min("place").alias("stays"))
+    gone = rows.join(first, "root").where("NOT place <=> stays").select("place.doc_id", "place.text_key")
+    gone = materialise(gone, "simhash-gone")
+    for t in (prints, rows):
+        discard(t)
+    return without(docs, gone, doc_id=F.col(id_col), text_key=F.xxhash64(text_col))
