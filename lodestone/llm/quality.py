@@ -2,10 +2,11 @@
 
 The statistics of a document are (log of mean word length, square root of symbols a word, share of lines that
 repeat, share of words in repeated windows). For each (lang, source) a minimum-covariance-determinant estimate is
-made by concentration steps: from a start of medians and quartiles, the H share of documents that lie closest
-gives the next mean and covariance, and so on. A document is rejected if its Mahalanobis distance exceeds CUT.
-Estimates use every document that passes the base rules; only small aggregates are shuffled (medians and
-quantiles are exact over values rounded to 0.01, so their state is bounded), never a text.
+made by concentration steps: the H share of documents that lie closest to a centre gives the next mean and covariance,
+and so on. Each group starts from its medians and quartiles and from the moments of small drawn subsets; after PROBE
+steps the start of the least determinant goes on alone until the determinant settles. A document is rejected if its
+Mahalanobis distance exceeds CUT. Estimates use every document that passes the base rules; only small aggregates are
+shuffled (medians and quantiles are exact over values rounded to 0.01, so their state is bounded), never a text.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.operators.rows import without
-from lodestone.plans.scratch import materialise
+from lodestone.plans.scratch import discard, materialise
 
 SPACES = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
@@ -25,7 +26,15 @@ STATS = ("x0", "x1", "x2", "x3")
 #: Least standard deviation of each statistic: a source whose documents agree exactly must not reject the next clean one.
 FLOOR = (0.08, 0.15, 0.1, 0.1)
 H = 0.75
-STEPS = 3
+#: Starts of each group, the subsets drawn for all but the first, and the steps that each start gets.
+STARTS = 4
+DRAWN = 25
+PROBE = 2
+#: Change of the logarithm of the determinant that ends the steps, and most steps.
+SETTLED = 1e-3
+MOST_STEPS = 12
+#: Rows of estimates (some 20 numbers each) up to which they are broadcast.
+BROADCAST_ROWS = 50_000
 #: A (lang, source) with fewer documents is judged with its language, a language with fewer with all.
 LEAST = 50
 #: Chance that a document of a normal group lies beyond the cut.
@@ -153,25 +162,64 @@ def _levels(rows: DataFrame) -> DataFrame:
     return rows.join(known, ["lang", "source"], "left").withColumn("g", F.coalesce("g", F.lit("a")))
 
 
-def estimates(fit: DataFrame) -> DataFrame:
-    """(g, m*, l*): centre and covariance factor of each group of ``fit`` (g and the statistics)."""
+def _beside(rows: DataFrame, small: DataFrame, how: str = "inner") -> DataFrame:
+    """``rows`` joined with estimates by g; the estimates are broadcast if they are counted to be few."""
+    return rows.join(F.broadcast(small) if small.count() <= BROADCAST_ROWS else small, "g", how)
+
+
+def _shape(moments: DataFrame) -> DataFrame:
+    """(g, k, m*, l*, det) from centres m* and covariances s*; det is the logarithm of the determinant."""
+    d = range(len(STATS))
+    rows = _cholesky(moments).select("g", "k", *[f"m{i}" for i in d], *[f"l{i}{j}" for i in d for j in d if j <= i])
+    return rows.withColumn("det", 2 * sum((F.log(f"l{i}{i}") for i in d[1:]), F.log("l00")))
+
+
+def _moments(rows: DataFrame, grow: float) -> DataFrame:
+    """Centres and covariances, times ``grow`` and over the floor, of each (g, k)."""
+    d = range(len(STATS))
+    means = [F.avg(x).alias(f"m{i}") for i, x in enumerate(STATS)]
+    sums = [F.covar_pop(STATS[i], STATS[j]).alias(f"s{i}{j}") for i in d for j in d if i <= j]
+    spread = {f"s{i}{j}": F.col(f"s{i}{j}") * grow + (FLOOR[i] ** 2 if i == j else 0) for i in d for j in d if i <= j}
+    return rows.groupBy("g", "k").agg(*means, *sums).withColumns(spread)
+
+
+def _starts(fit: DataFrame) -> DataFrame:
+    """(g, k, m*, l*, det): STARTS estimates of each group to start from."""
     d = range(len(STATS))
     quart = [F.percentile(F.round(x, 2), [0.25, 0.5, 0.75]).alias(f"q{i}") for i, x in enumerate(STATS)]
-    start = fit.groupBy("g").agg(*quart)
+    sizes = materialise(fit.groupBy("g").agg(F.count("*").alias("n"), *quart), "quality-sizes")
     cols = {f"m{i}": F.col(f"q{i}")[1] for i in d}
     cols |= {f"s{i}{j}": F.pow(F.greatest((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, F.lit(FLOOR[i])), 2) if i == j else F.lit(0.0) for i in d for j in d if i <= j}
-    shape = _cholesky(start.withColumns(cols)).select("g", *[f"m{i}" for i in d], *[f"l{i}{j}" for i in d for j in d if j <= i])
-    shape = materialise(shape, "quality-start")
-    for _ in range(STEPS):
-        far = fit.join(shape, "g").select("g", *STATS, F.round(F.log(_distance() + 1e-9), 2).alias("d"))
-        edge = materialise(far.groupBy("g").agg(F.percentile("d", H).alias("edge")), "quality-edge")
-        near = far.join(edge, "g").where("d <= edge")
-        means = [F.avg(x).alias(f"m{i}") for i, x in enumerate(STATS)]
-        sums = [F.covar_pop(STATS[i], STATS[j]).alias(f"s{i}{j}") for i in d for j in d if i <= j]
-        moved = near.groupBy("g").agg(*means, *sums)
-        spread = {f"s{i}{j}": F.col(f"s{i}{j}") * GROW + (FLOOR[i] ** 2 if i == j else 0) for i in d for j in d if i <= j}
-        shape = _cholesky(moved.withColumns(spread)).select("g", *[f"m{i}" for i in d], *[f"l{i}{j}" for i in d for j in d if j <= i])
-        shape = materialise(shape, "quality-step")
+    middle = _shape(sizes.withColumns(cols).withColumn("k", F.lit(0)))
+    drawn = _beside(fit, sizes.select("g", "n")).withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(STARTS - 1))))
+    drawn = drawn.where(F.pmod(F.xxhash64("k", *STATS), F.ceil(F.col("n") / DRAWN)) == 0)
+    return materialise(middle.unionByName(_shape(_moments(drawn, 1.0))), "quality-start")
+
+
+def _step(fit: DataFrame, shape: DataFrame) -> DataFrame:
+    """One concentration step of every (g, k) of ``shape``."""
+    far = _beside(fit, shape).select("g", "k", *STATS, F.round(F.log(_distance() + 1e-9), 2).alias("d"))
+    edge = materialise(far.groupBy("g", "k").agg(F.percentile("d", H).alias("edge")), "quality-edge")
+    near = far.join(F.broadcast(edge) if edge.count() <= BROADCAST_ROWS else edge, ["g", "k"]).where("d <= edge")
+    out = materialise(_shape(_moments(near, GROW)), "quality-step")
+    discard(edge)
+    return out
+
+
+def estimates(fit: DataFrame) -> DataFrame:
+    """(g, k, m*, l*, det): centre and covariance factor of least determinant of each group of ``fit`` (g and the statistics)."""
+    shape = _starts(fit)
+    for _ in range(PROBE):
+        shape = _step(fit, shape)
+    best = shape.groupBy("g").agg(F.min_by("k", F.struct("det", "k")).alias("k"))
+    shape = materialise(shape.join(best, ["g", "k"]), "quality-best")
+    for _ in range(MOST_STEPS - PROBE):
+        moved = _step(fit, shape)
+        change = moved.select("g", F.col("det").alias("new")).join(shape.select("g", "det"), "g").agg(F.max(F.abs(F.col("new") - F.col("det")))).first()[0]
+        discard(shape)
+        shape = moved
+        if change is None or change < SETTLED:
+            break
     return shape
 
 
@@ -184,12 +232,17 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     """
     rows = _levels(materialise(statistics(docs, id_col, text_col), "quality"))
     shape = estimates(rows.where("NOT base_failed").select("g", *STATS))
-    judged = rows.join(shape, "g", "left").withColumn("distance", F.round(F.sqrt(_distance()), 6))
+    judged = _beside(rows, shape.drop("k", "det"), "left").withColumn("distance", F.round(F.sqrt(_distance()), 6))
     kept = ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= math.sqrt(CUT))
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "distance", "text_key")
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "distance", "text_key", "lang", "source")
 
 
 def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that the rules keep, columns as they are."""
+    """The rows of ``docs`` that the rules keep, columns as they are.
+
+    Rows are told apart by id, hash of the text, lang and source, as a text may pass in one group and fail in another;
+    rows that agree on these share one fate. A null text has no words and goes; null ids, langs and sources are values
+    like others; an empty table gives an empty result.
+    """
     bad = judge(docs, id_col, text_col).where("NOT kept")
-    return without(docs, bad, doc_id=F.col(id_col), text_key=F.xxhash64(text_col))
+    return without(docs, bad, doc_id=F.col(id_col), text_key=F.xxhash64(text_col), lang=F.coalesce("lang", F.lit("")), source=F.coalesce("source", F.lit("")))
