@@ -1,13 +1,20 @@
 """Main text of web pages, with site templates removed.
 
-Two passes over the pages. The first parses each page, hashes every element subtree that is not noise by its
-tag or its class, and Spark counts for each host in how many different pages a subtree stands. The second
-parses again, deletes the subtrees that recur on the page's host, and writes out the text of the main element
-block by block. A task holds one page at a time; hosts are never gathered in a task: counts are combined before
-the shuffle, and a hot host is salted in the join of pages with their templates.
-
-A subtree is a template if more than half of the host's different pages hold it, and at least MIN_PAGES. Copies
-of a page count once, so an article copied many times is no template.
+Two passes over the pages. The first parses each page and hashes its element subtrees in two ways: with their text, and
+as frames, the tag, class, id, role and kinds of children of a container without its text, beside the number of its
+words and of those in links. Spark counts for each host in how many different pages a subtree stands. The second pass
+parses again, deletes the subtrees that recur on the page's host, and writes out what is left block by block. A task
+holds one page at a time; hosts are never gathered in a task: counts are combined before the shuffle, and a hot host is
+salted in the join of pages with their templates.
+
+A template stands in at least MIN_PAGES of a host's different pages and in a share of them: SHARE for subtrees inside
+an article, which an article must not lose because it was reprinted, SHARE_AROUND for what stands around it. A frame
+must be made of links for the most part or hold WORDS words at most on average, as menus, adverts and footers do whose
+text changes from page to page. Copies of a page count once, so an article copied many times is no template. Paragraphs,
+headings, articles and what holds an article are never frames.
+
+What recurs too little to be a template, as on hosts of few pages, falls back on names: elements that HTML keeps for
+other things than the article, and words that sites use in classes and ids.
 """
 
 from __future__ import annotations
@@ -27,6 +34,9 @@ from lodestone.plans.scratch import materialise
 
 MIN_PAGES = 8
 SHARE = 0.5
+SHARE_AROUND = 0.1
+#: Words of a frame on average up to which it is furniture of the page.
+WORDS = 25
 #: A host with more than this part of all pages is dealt to several tasks.
 PARTS = 500
 
@@ -51,13 +61,16 @@ NOISE_WORDS = frozenset(
     "footer share sharing social related recommended recommendations comment comments respond replies disqus login search toolbar".split()
 )
 NOISE_IN_PAGE = frozenset(["header"])  # an article's own header holds its title
+ARTICLE_WORDS = frozenset(["article", "content", "entry", "post", "story"])
+NO_TEXT = frozenset("head script style noscript template title textarea iframe object embed svg math canvas audio video select option noembed noframes xmp".split())
+FRAMES = frozenset("div section nav aside header footer form ul ol dl menu table".split())
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "kids", "hash")
+    __slots__ = ("tag", "attrs", "kids", "hash", "marks")
 
     def __init__(self, tag: str, attrs: str = ""):
-        self.tag, self.attrs, self.kids, self.hash = tag, attrs, [], 0
+        self.tag, self.attrs, self.kids, self.hash, self.marks = tag, attrs, [], 0, ()
 
 
 _TAG = re.compile(r"<(?:!--|[/!?]?[A-Za-z?!])")
@@ -65,29 +78,33 @@ _NAME = re.compile(r"[^\s/>]+")
 _ATTR = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 
 
-def _tag_end(text: str, at: int) -> int:
-    """Index of the > that ends the tag at ``at``, quoted ones left out; -1 if the page ends first."""
-    end = text.find(">", at)
-    if end < 0 or text.count('"', at, end) % 2 == 0 and text.count("'", at, end) % 2 == 0:
-        return end
-    quote, i = "", at
-    stop = min(len(text), at + (1 << 16))  # a quote that never ends does not swallow the page
-    while i < stop:
-        c = text[i]
-        if quote:
-            quote = "" if c == quote else quote
-        elif c in "\"'" and text[i - 1] in "= \t\n\r\f":
-            quote = c
-        elif c == ">":
-            return i
-        i += 1
-    return end
+class _Quotes:
+    """Finds the ends of the tags of a page; a quote that is never closed does not swallow the page."""
+
+    _mark = re.compile(r"""[>"']""")
+
+    def __init__(self, page: str):
+        self.page, self.last = page, {q: page.rfind(q) for q in "\"'"}
+
+    def tag_end(self, at: int) -> int:
+        """Index of the > that ends the tag at ``at``, quoted ones left out; -1 if the page ends first."""
+        page, i = self.page, at
+        while m := self._mark.search(page, i):
+            i = m.end()
+            if m[0] == ">":
+                return m.start()
+            if page[m.start() - 1] in "= \t\n\r\f":
+                if self.last[m[0]] < i:
+                    return page.find(">", at)
+                i = page.find(m[0], i) + 1
+        return page.find(">", at)
 
 
 def parse(page: str) -> Node:
     """The element tree of a page, tolerant of what browsers tolerate. Comments, declarations and cut tags vanish."""
     root = Node("#root")
     stack, at, n = [root], 0, len(page)
+    quotes = _Quotes(page)
     while at < n:
         m = _TAG.search(page, at)
         if not m:
@@ -100,7 +117,7 @@ def parse(page: str) -> Node:
             end = page.find("-->", start + 4)
             at = n if end < 0 else end + 3
             continue
-        end = _tag_end(page, start + 1)
+        end = quotes.tag_end(start + 1)
         if end < 0:
             break
         at = end + 1
@@ -186,43 +203,80 @@ def prune(root: Node) -> None:
         node.kids = kept
 
 
-def hash_subtrees(root: Node) -> set[int]:
-    """Signed hashes of every block element below ``root`` that holds text; each node's own is kept on it."""
-    order, todo = [], [root]
+def strip(root: Node) -> None:
+    """Remove scripts, styles and other elements without text of the page."""
+    todo = [root]
     while todo:
         node = todo.pop()
-        order.append(node)
+        node.kids = [k for k in node.kids if isinstance(k, str) or k.tag not in NO_TEXT]
         todo += [k for k in node.kids if not isinstance(k, str)]
-    found = set()
-    for node in reversed(order):
-        h, text = xxhash.xxh64(node.tag.encode()), False
+
+
+def _signed(v: int) -> int:
+    return v - (1 << 64 if v >> 63 else 0)
+
+
+def hash_subtrees(root: Node) -> dict[int, tuple[int, int, int]]:
+    """hash -> (kind, words, words in links) of what may be a template below ``root``; hashes are kept on the nodes.
+
+    Kind 1 is a container with its text outside an article, 0 any other block with its text, 2 a frame. An element has
+    a hash of its text and, if it can be a frame, one of its shape; elements that hold no text have none.
+    """
+    order, todo = [], [(root, False)]
+    while todo:
+        node, inside = todo.pop()
+        article = node.tag in ("article", "main") or _container(node)
+        order.append((node, inside, article))
+        inside = inside or article
+        todo += [(k, inside) for k in node.kids if not isinstance(k, str)]
+    found: dict[int, tuple[int, int, int]] = {}
+    facts: dict[int, tuple[int, int, bool]] = {}  # words, words in links, whether an article is below
+    for node, inside, holds in reversed(order):
+        h, words, links = xxhash.xxh64(node.tag.encode()), 0, 0
         for k in node.kids:
             if isinstance(k, str):
-                t = " ".join(k.split())
-                text |= bool(t)
-                h.update(b"\0" + t.encode("utf-8", "replace"))
+                t = k.split()
+                words += len(t)
+                h.update(b"\0" + " ".join(t).encode("utf-8", "replace"))
             elif k.hash:
-                text = True
+                w, l, x = facts.pop(id(k))  # noqa: E741
+                words, links, holds = words + w, links + l, holds or x
                 h.update(b"\1" + k.hash.to_bytes(8, "little", signed=True))
-        if text:
-            v = h.intdigest()
-            node.hash = v - (1 << 64 if v >> 63 else 0)
-            if node.tag in BLOCK and node.tag not in ("html", "body", "article", "main"):
-                found.add(node.hash)
+        links = words if node.tag == "a" else links
+        if not words:
+            continue
+        facts[id(node)] = (words, links, holds)
+        node.hash = _signed(h.intdigest())
+        if node.tag in BLOCK and node.tag not in ("html", "body") and not holds:
+            node.marks = [node.hash ^ inside]
+            found[node.marks[0]] = (int(not inside and node.tag in FRAMES), words, links)
+            if node.tag in FRAMES and not inside:
+                a = attributes(node)
+                shape = [node.tag, *(a.get(x, "") for x in ("class", "id", "role")), *sorted({k.tag for k in node.kids if not isinstance(k, str)})]
+                node.marks.append(_signed(xxhash.xxh64_intdigest("\x1f".join(shape).encode("utf-8", "replace"), 1)))
+                found[node.marks[1]] = (2, words, links)
     return found
 
 
 def delete_templates(root: Node, templates: set[int]) -> None:
-    """Remove the hashed subtrees that are templates; the article and what holds it stay."""
+    """Remove the subtrees that are templates."""
     if not templates:
         return
     todo = [root]
     while todo:
         node = todo.pop()
-        node.kids = [k for k in node.kids if isinstance(k, str) or k.hash not in templates or k.tag in ("html", "body", "article", "main")]
+        node.kids = [k for k in node.kids if isinstance(k, str) or templates.isdisjoint(k.marks)]
         todo += [k for k in node.kids if not isinstance(k, str)]
 
 
+def _container(node: Node) -> bool:
+    """Whether an element is named as one that holds an article."""
+    if node.tag not in ("div", "section") or not node.attrs:
+        return False
+    a = attributes(node)
+    return not ARTICLE_WORDS.isdisjoint(_words(f"{a.get('class', '')} {a.get('id', '')}"))
+
+
 def _outermost(root: Node, test) -> list[Node]:
     found, todo = [], [root]
     while todo:
@@ -243,7 +297,7 @@ def main_nodes(root: Node) -> list[Node]:
     for test in (
         lambda x: x.tag == "article",
         lambda x: x.tag == "main" or "role" in x.attrs and attributes(x).get("role") == "main",
-        lambda x: x.tag in ("div", "section") and bool(x.attrs) and bool({"article", "content", "entry", "post", "story"} & _words(" ".join(attributes(x).get(k, "") for k in ("class", "id")))),
+        _container,
         lambda x: x.tag == "body",
     ):
         if found := _outermost(root, test):
@@ -278,15 +332,22 @@ def blocks(node: Node) -> list[str]:
     return out
 
 
-def main_text(page: str | None, templates: set[int] | None = None) -> str:
-    """The main text of a page; subtrees whose hash is in ``templates`` are left out. Null and empty pages give ''."""
+def main_text(page: str | None, templates: set[int] | None = None, names: bool = True) -> str:
+    """The main text of a page without the subtrees marked in ``templates``. Null and empty pages give ''.
+
+    With ``names``, what is left is cut to the article and freed of elements that are noise by their name. A page of
+    any length is held and read whole.
+    """
     if not page:
         return ""
     root = parse(page)
-    prune(root)
+    strip(root)
     if templates:
         hash_subtrees(root)
         delete_templates(root, templates)
+    if not names:
+        return "\n".join(blocks(root))
+    prune(root)
     return "\n".join(b for node in main_nodes(root) for b in blocks(node))
 
 
@@ -296,39 +357,43 @@ def host(url: Column) -> Column:
     return F.lower(F.regexp_replace(authority, r"^.*@|:\d*$", ""))
 
 
-def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES, share: float = SHARE) -> DataFrame:
-    """(host, templates array<long>): the subtrees that recur on each host. The array is bounded: more than
-    ``share`` of a host's pages hold each entry, so it is at most 1 / share times as long as an average page."""
+def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES, share: float = SHARE, around: float = SHARE_AROUND) -> DataFrame:
+    """(host, templates array<long>): the subtrees that recur on each host. The array is bounded: at least ``around``
+    of a host's pages hold each entry, so it is at most 1 / around times as long as an average page has elements."""
     src = pages.select(host(F.col("url")).alias("host"), "html")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, sigs, hashes = [], [], []
+            rows, cols = [], []
             for row, page in enumerate(batch["html"]):
                 if text := page.as_py():
                     root = parse(text)
-                    prune(root)
-                    found = hash_subtrees(root) | {0}  # 0 counts the page itself
+                    strip(root)
+                    found = hash_subtrees(root) | {0: (3, 0, 0)}  # 0 counts the page itself
                     rows += [row] * len(found)
-                    sigs += [root.hash] * len(found)
-                    hashes += found
-            yield pa.RecordBatch.from_arrays([batch["host"].take(pa.array(rows, pa.int64())), pa.array(sigs, pa.int64()), pa.array(hashes, pa.int64())], ["host", "sig", "hash"])
+                    cols += [(root.hash, h, *v) for h, v in found.items()]
+            kinds = [pa.int64(), pa.int64(), pa.int8(), pa.int32(), pa.int32()]
+            made = [pa.array(c, k) for c, k in zip(list(zip(*cols, strict=True)) or [()] * 5, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch["host"].take(pa.array(rows, pa.int64())), *made], ["host", "sig", "hash", "kind", "words", "links"])
 
-    seen = src.mapInArrow(run, "host string, sig long, hash long").distinct().groupBy("host", "hash").agg(F.count("*").alias("n"))
+    once = src.mapInArrow(run, "host string, sig long, hash long, kind byte, words int, links int").dropDuplicates(["host", "sig", "hash"])
+    seen = once.groupBy("host", "hash", "kind").agg(F.count("*").alias("n"), F.sum("words").alias("words"), F.sum("links").alias("links"))
     seen = materialise(seen.where(f"hash = 0 OR n >= {int(min_pages)}"), "site-subtrees")  # pages are parsed once for it
     total = seen.where("hash = 0").select("host", F.col("n").alias("pages"))
-    often = seen.where("hash <> 0").join(total, "host").where(F.col("n") > F.lit(share) * F.col("pages"))
+    part = F.when(F.col("kind") == 0, F.lit(share)).otherwise(F.lit(around))
+    furniture = (F.col("kind") < 2) | (2 * F.col("links") >= F.col("words")) | (F.col("words") <= WORDS * F.col("n"))
+    often = seen.where("hash <> 0").join(total, "host").where((F.col("n") > part * F.col("pages")) & furniture)
     return often.groupBy("host").agg(F.collect_set("hash").alias("templates"))
 
 
-def extract(pages: DataFrame, min_pages: int = MIN_PAGES, share: float = SHARE) -> DataFrame:
+def extract(pages: DataFrame, min_pages: int = MIN_PAGES, share: float = SHARE, around: float = SHARE_AROUND, names: bool = True) -> DataFrame:
     """(page_id, url, text, n_chars) for every row of ``pages``.
 
     Null html is an empty page; a null url belongs to the host ''; repeated rows are kept and count once for
     templates; null ids pass through; an empty table gives an empty result; other columns are ignored.
     """
     src = pages.select("page_id", "url", "html", host(F.col("url")).alias("_host"))
-    known = site_templates(pages, min_pages, share).withColumnRenamed("host", "_host")
+    known = site_templates(pages, min_pages, share, around).withColumnRenamed("host", "_host")
     sizes = src.groupBy("_host").agg(F.count("*").alias("n"))
     total = pages.count()
     # Hosts of over 1 / PARTS of all rows, fewer than PARTS of them, are dealt to so many tasks as they have such shares.
@@ -340,6 +405,6 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, share: float = SHARE)
 
     @F.pandas_udf(T.StringType())
     def text(html_: pd.Series, templates: pd.Series) -> pd.Series:
-        return pd.Series([main_text(p, None if t is None else {int(x) for x in t}) for p, t in zip(html_, templates, strict=True)], dtype="object")
+        return pd.Series([main_text(p, None if t is None else {int(x) for x in t}, names) for p, t in zip(html_, templates, strict=True)], dtype="object")
 
     return rows.withColumn("text", text("html", "templates")).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
