@@ -11,6 +11,9 @@ candidate. A candidate that lacks too many of the item's different words, by a b
 verified in place: the longest common subsequence of item and window must hold COPY of the item's words, or
 PARAPHRASE of them and the item's answer, its last ANSWER words.
 
+Items of fewer than LEAST words are looked for as they stand: their words in a row or, for items of fewer than
+SHORT words, which any text may hold by chance, a text that has no other words.
+
 Documents are never joined with each other or moved by key, so copies and hot sources cost what other rows cost.
 The benchmark is the query set; it goes over the documents in blocks of about BLOCK words.
 """
@@ -23,7 +26,6 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,8 +35,9 @@ from lodestone.plans.scratch import discard, materialise
 COPY = 0.8
 PARAPHRASE = 0.65
 ANSWER = 6
-#: Items with fewer words match by chance and are left out.
+#: Items with fewer words match word for word, those with fewer than SHORT only a text that is nothing else.
 LEAST = 8
+SHORT = 4
 #: Longer items are cut into parts of at most so many words; a document that holds a part leaks the item.
 PART = 64
 PASSAGE = 32
@@ -103,52 +106,65 @@ def sequences(docs: DataFrame, known: dict[bytes, int], id_col: str, text_col: s
     return src.mapInArrow(run, "doc_id long, text_key long, terms binary")
 
 
-def _chunks(batches: Iterator[pd.DataFrame], size: int = CHUNK) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(terms, passage of each), some texts at a time; a passage never crosses two texts."""
-    held, count = [], 0
+def _chunks(batches: Iterator[pd.DataFrame], size: int = CHUNK) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(terms, passage of each, seed of each passage), some texts at a time; a passage never crosses two texts."""
+    held, seeds, count = [], [], 0
 
-    def done() -> tuple[np.ndarray, np.ndarray]:
+    def done() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         lengths = np.array([h.size for h in held])
         rows = -(-lengths // PASSAGE)
-        base = np.repeat(np.cumsum(rows) - rows, lengths)
+        base = np.cumsum(rows) - rows
         at = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        return np.concatenate(held), base + at // PASSAGE
+        number = np.arange(rows.sum()) - np.repeat(base, rows)
+        return np.concatenate(held), np.repeat(base, lengths) + at // PASSAGE, np.repeat(np.array(seeds, np.uint64), rows) + number.astype(np.uint64)
 
+    step = size // PASSAGE * PASSAGE
     for batch in batches:
-        for raw in batch["terms"]:
+        for raw, seed in zip(batch["terms"], batch["seed"], strict=True):
             whole = np.frombuffer(raw, np.int32)
-            for at in range(0, whole.size, size // PASSAGE * PASSAGE):
-                held.append(whole[at : at + size // PASSAGE * PASSAGE])
+            for at in range(0, whole.size, step):
+                held.append(whole[at : at + step])
+                seeds.append((seed + at // PASSAGE) % (1 << 64))
                 count += held[-1].size
                 if count >= size:
                     yield done()
-                    held, count = [], 0
+                    held, seeds, count = [], [], 0
     if count:
         yield done()
 
 
-def statistics(rows: DataFrame, size: int, seed: int = 5) -> tuple[np.ndarray, np.ndarray, int]:
-    """(passages that hold each term, sketch of term counts, all passages)."""
+def _drawn(seeds: np.ndarray) -> np.ndarray:
+    """A number below 2 * SKETCH for each seed."""
+    x = seeds * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return ((x ^ (x >> np.uint64(31))) % np.uint64(2 * SKETCH)).astype(np.int64)
+
+
+def statistics(rows: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """(passages that hold each term, sketch of term counts, all passages).
+
+    A passage's place in the sketch is drawn from its row's id, text and its own number, so the result does not depend
+    on how the rows are split; the sums are of whole numbers.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out = np.zeros((size + 1, SKETCH + 1), np.int64)
         flat = np.zeros(size * SKETCH)
-        seen = TaskContext.get().partitionId() << 40
-        for terms, passage in _chunks(batches):
-            n = int(passage[-1]) + 1
-            out[size, 0] += n
+        for terms, passage, seeds in _chunks(batches):
+            out[size, 0] += seeds.size
             ok = terms >= 0
             t, p = terms[ok].astype(np.int64), passage[ok]
             out[:size, 0] += np.bincount(np.unique(p * size + t) % size, minlength=size)
-            drawn = np.random.default_rng((seed, seen)).integers(0, 2 * SKETCH, n)  # row and sign of each passage
+            drawn = _drawn(seeds)  # row and sign of each passage
             flat += np.bincount(t * SKETCH + drawn[p] // 2, weights=1.0 - 2 * (drawn[p] % 2), minlength=flat.size)
-            seen += 1
         out[:size, 1:] = flat.reshape(size, SKETCH)
         some = np.flatnonzero(out.any(axis=1))
         for at in range(0, some.size, 1024):
             yield pd.DataFrame({"i": some[at : at + 1024].astype(np.int32), "v": list(out[some[at : at + 1024]])})
 
-    sums = rows.select("terms").mapInPandas(run, "i int, v array<long>").groupBy("i").agg(*[F.sum(F.col("v")[j]).alias(f"s{j}") for j in range(SKETCH + 1)])
+    src = rows.select(F.xxhash64("doc_id", "text_key").alias("seed"), "terms")
+    sums = src.mapInPandas(run, "i int, v array<long>").groupBy("i").agg(*[F.sum(F.col("v")[j]).alias(f"s{j}") for j in range(SKETCH + 1)])
     got = sums.toPandas()  # a row for each term of the block
     out = np.zeros((size + 1, SKETCH + 1))
     out[got["i"].to_numpy(np.int64)] = got.drop(columns="i").to_numpy(np.float64)
@@ -171,7 +187,16 @@ class Search:
     """The items by window length, and the search for them in texts."""
 
     def __init__(self, items: list[np.ndarray], space: np.ndarray, cosine: float = COSINE):
-        self.items, self.cosine = items, cosine
+        self.cosine = cosine
+        self.rows = np.array([x.size for x in items])
+        self.latent = np.flatnonzero(self.rows >= LEAST)  # numbers of the items that are searched by cosine
+        self.exact: dict[int, dict[bytes, list[int]]] = {}
+        for i in np.flatnonzero(self.rows < LEAST).tolist():
+            self.exact.setdefault(items[i].size, {}).setdefault(items[i].tobytes(), []).append(i)
+        self.all, items = items, [items[i] for i in self.latent]
+        self.items = items
+        if not items:
+            return
         self.space = np.vstack([space, np.zeros((1, space.shape[1]), space.dtype)])
         drawn = np.random.default_rng(1).integers(0, 64 * _BITS, space.shape[0])
         self.bits = np.zeros((space.shape[0] + 1, _BITS), np.uint64)
@@ -184,6 +209,24 @@ class Search:
         sums = np.stack([space[x].sum(axis=0) for x in items])
         self.vectors = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12)
 
+    def exactly(self, text: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(item, first word, word after the last) of the first place of each short item in a text."""
+        for n, known in self.exact.items():
+            if n < SHORT:
+                for i in known.get(text.tobytes(), ()) if text.size == n else ():
+                    yield i, 0, n
+                continue
+            if text.size < n:
+                continue
+            heads = np.unique([np.frombuffer(k, np.int32)[:2] for k in known], axis=0)
+            pairs = (text[: text.size - n + 1].astype(np.int64) << 32) | text[1 : text.size - n + 2]
+            seen = set()
+            for at in np.flatnonzero(np.isin(pairs, (heads[:, 0].astype(np.int64) << 32) | heads[:, 1])).tolist():
+                for i in known.get(text[at : at + n].tobytes(), ()):
+                    if i not in seen:
+                        seen.add(i)
+                        yield i, at, at + n
+
     def candidates(self, grid: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
         """(items, first cells of windows, cells of these) for windows of ``grid``, whole cells of terms."""
         cells = np.take(self.space, grid, axis=0).reshape(-1, CELL, self.space.shape[1]).sum(axis=1)
@@ -214,12 +257,14 @@ class Search:
 
     def found(self, texts: list[np.ndarray]) -> dict[tuple[int, int], tuple]:
         """(text, item) -> (words in common, answer there, minus the first word, word after the last) of the best window."""
+        out: dict[tuple[int, int], tuple] = {}
+        if not self.items:
+            return out
         padded = [-(-x.size // CELL) + GAP for x in texts]  # windows hang over both ends and never hold two texts
         first = np.cumsum([GAP, *padded])
         grid = np.full(int(first[-1]) * CELL, -1, np.int32)
         for x, at in zip(texts, first, strict=False):
             grid[at * CELL : at * CELL + x.size] = x
-        out: dict[tuple[int, int], tuple] = {}
         for which, near, n in self.candidates(grid):
             text = np.maximum(np.searchsorted(first, near + n, side="left") - 1, 0)  # the last text that starts before the window's end
             for i, s, t in zip(which.tolist(), near.tolist(), np.minimum(text, len(texts) - 1).tolist(), strict=True):
@@ -228,7 +273,8 @@ class Search:
                 common, answer, leak = judge(self.items[i], texts[t][low:high])
                 if leak:
                     new = (common, answer, -low, high)
-                    out[t, i] = max(out.get((t, i), new), new)
+                    key = (t, int(self.latent[i]))
+                    out[key] = max(out.get(key, new), new)
         return out
 
 
@@ -236,8 +282,8 @@ def leaks(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: s
     """(doc_id, text_key, item_id, part, item_words, common_words, answer_found, start_word, end_word): leaked items.
 
     One row for each document and part of an item that it holds, with the words [start_word, end_word) in which the
-    most of it was found. Items of fewer than LEAST words, null items and null texts match nothing; an empty table on
-    either side gives an empty result. Null ids and repeated rows are judged like others, text_key (a hash of the text) tells them
+    most of it was found. Null items, items without words and null texts match nothing; an empty table on either side
+    gives an empty result. Null ids and repeated rows are judged like others, text_key (a hash of the text) tells them
     apart; equal items are reported each. Other columns are ignored.
     """
     spark = docs.sparkSession
@@ -252,7 +298,7 @@ def leaks(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: s
         named, texts = [], []
         for item_id, text in sorted(((r[0], r[1]) for r in rows), key=lambda r: (r[0] is None, r)):
             w = words(text)
-            for p, piece in enumerate(parts(w) if len(w) >= LEAST else []):
+            for p, piece in enumerate(parts(w)):
                 named.append((item_id, p))
                 texts.append(piece)
         if not texts:
@@ -284,6 +330,8 @@ def _matches(rows: DataFrame, items: list[np.ndarray], named: list[tuple], space
             words_held = 0
             for row, raw in enumerate(batch["terms"]):
                 terms = np.frombuffer(raw.as_py(), np.int32)
+                for i, start, end in search.exactly(terms):
+                    best[row, i] = (end - start, True, -start, end)
                 for at in range(0, max(1, terms.size - OVERLAP), CHUNK - OVERLAP):
                     held.append((row, at, terms[at : at + CHUNK]))
                     words_held += held[-1][2].size + GAP * CELL
