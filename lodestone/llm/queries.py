@@ -34,7 +34,7 @@ def op5_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judge(table(spark, sf_dir, "documents")).drop("text_key")
+    return quality.judge(table(spark, sf_dir, "documents")).drop("text_key", "lang", "source")
 
 
 def op7_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,8 +16,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
+from lodestone.operators.numbering import numbered
 from lodestone.plans.scratch import materialise
 
 ROUND_KEYS = (1540483477, 305419896, 88172645, 1013904223)
@@ -62,20 +62,8 @@ def _walk(x: Column, n: int, seed: int, least: int) -> Column:
     return F.aggregate(steps, x, lambda acc, i: F.when((i > least) & (acc < n), acc).otherwise(feistel(acc, n, seed)))
 
 
-def numbered(rows: DataFrame, order: list[str]) -> tuple[DataFrame, int]:
-    """``rows`` with row_no 0..N-1 in the given order, and N. Equal rows get numbers in any order, which shows nowhere."""
-    placed = rows.repartitionByRange(*[F.col(c).asc_nulls_first() for c in order]).sortWithinPartitions(*[F.col(c).asc_nulls_first() for c in order])
-    placed = materialise(placed.withColumn("_at", F.monotonically_increasing_id()), "numbered")
-    placed = placed.withColumn("_part", F.shiftright("_at", 33)).withColumn("_at", F.col("_at").bitwiseAND(F.lit((1 << 33) - 1).cast("long")))
-    counts = placed.groupBy("_part").agg(F.count("*").alias("_n"))  # a row for each partition
-    offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    total = counts.agg(F.sum("_n")).first()[0] or 0
-    out = placed.join(F.broadcast(offsets.select("_part", "_off")), "_part").withColumn("row_no", F.col("_off") + F.col("_at"))
-    return out.drop("_part", "_at", "_off"), total
-
-
 def shard(docs: DataFrame, shards: int = 24, seed: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, size, text_crc32, row_no, law, shard, slot, grown_shard) for every row.
+    """(doc_id, size, text_crc32, law, shard, slot, grown_shard, row_no) for every row.
 
     size: UTF-8 bytes of the text plus 8; a null text has no bytes and the checksum of none. Null ids are
     numbered first, repeated rows get numbers of their own, an empty table gives an empty result, other columns
@@ -88,7 +76,7 @@ def shard(docs: DataFrame, shards: int = 24, seed: int = 0, id_col: str = "doc_i
     while n and (left := rows.where(F.col("_p") >= n).limit(1).count()):  # 2^-STEPS of the rows
         rows = materialise(rows.withColumn("_p", F.when(F.col("_p") >= n, _walk(F.col("_p"), n, seed, 0)).otherwise(F.col("_p"))), "walked")
     return rows.select(
-        "doc_id", "size", "text_crc32", "row_no", F.lit("rows").alias("law"),
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"),
         (F.col("_p") % shards).cast("int").alias("shard"), F.floor(F.col("_p") / shards).cast("long").alias("slot"),
-        F.lit(None).cast(T.IntegerType()).alias("grown_shard"),
+        F.lit(None).cast(T.IntegerType()).alias("grown_shard"), "row_no",
     )
