@@ -196,6 +196,32 @@ def test_compact_windows_cover_every_subsequence():
             assert len(hit) == 1 and (x[c[hit[0]]] >> np.uint64(6)) == (x[i : j + 1] >> np.uint64(6)).min()
 
 
+def test_passages_of_an_id_with_several_texts(spark):
+    rng = random.Random(31)
+    one, two = prose(rng, 70), prose(rng, 70)
+    rows = [(1, f"{prose(rng, 20)} {one}"), (1, f"{two} {prose(rng, 20)}"), (1, f"{two} {prose(rng, 30)}"), (2, f"{prose(rng, 5)} {one}"), (3, two), (3, two), (4, prose(rng, 90))]
+    found = passages.near_duplicate_passages(spark.createDataFrame([(i, t, None, None, 0) for i, t in rows], DOCS)).collect()
+    assert {(r.doc_id, r.match_doc_id) for r in found} >= {(2, 1), (1, 1)} and {r.doc_id for r in found} | {r.match_doc_id for r in found} == {1, 2, 3}
+
+
+def test_passages_hold_true_jaccard_pairs(spark):
+    """All pairs of 60-word stretches by brute force: those at Jaccard 0.9 are found, what is found is at 0.8."""
+    rng = random.Random(32)
+    base = [prose(rng, 60).split() for _ in range(25)]
+    texts = [" ".join(b) for b in base]
+    for b in base:
+        w = list(b)
+        for k in rng.sample(range(60), rng.choice([1, 1, 2, 4, 12])):
+            w[k] = "edit"
+        texts.append(" ".join(w))
+    grams = [{tuple(t.split()[i : i + 5]) for i in range(56)} for t in texts]
+    share = {(j + 1, i + 1): len(grams[i] & grams[j]) / len(grams[i] | grams[j]) for i in range(50) for j in range(i + 1, 50)}
+    got = {(r.doc_id, r.match_doc_id) for r in passages.near_duplicate_passages(documents(spark, texts)).collect()}
+    near = {p for p, s in share.items() if s >= 0.8}
+    assert len(near) > 10 and len(near & got) >= 0.9 * len(near)
+    assert all(share[p] >= 0.6 for p in got)  # a found passage of 50 words is similar, its text of 60 may be less so
+
+
 def test_passages_odd_and_empty(spark):
     assert passages.near_duplicate_passages(odd_documents(spark)).count() == 0
     assert passages.near_duplicate_passages(odd_documents(spark).limit(0)).count() == 0
@@ -243,6 +269,21 @@ def test_leaks_match_brute_force(spark):
     assert kept == set(range(1, 61)) - {d for d, _ in got}
 
 
+def test_short_items_match_as_they_stand(spark):
+    bench = spark.createDataFrame([(1, "Bra ka lo mi."), (2, "two words"), (3, " .. "), (4, "a longer item of six words")], "item_id long, text string")
+    texts = ["x bra, ka lo mi y", "bra ka mi lo", "Two words!", "two words more", "of a longer item of six words and on", None, ""]
+    got = {(r.doc_id, r.item_id, r.start_word, r.end_word) for r in decontamination.leaks(documents(spark, texts), bench).collect()}
+    assert got == {(1, 1, 1, 5), (3, 2, 0, 2), (5, 4, 1, 7)}
+
+
+def test_latent_space_does_not_depend_on_the_split(spark):
+    rng = random.Random(33)
+    docs = documents(spark, [prose(rng, 90) for _ in range(40)])
+    known = {w.encode(): i for i, w in enumerate(WORDS)}
+    one, two = (decontamination.statistics(decontamination.sequences(docs.repartition(n), known, "doc_id", "text"), len(known)) for n in (1, 5))
+    assert (one[0] == two[0]).all() and (one[1] == two[1]).all() and one[2] == two[2]
+
+
 def test_lcs_is_lcs():
     rng = random.Random(4)
     for _ in range(200):
@@ -357,6 +398,46 @@ def test_distance_is_mahalanobis(spark):
     assert np.allclose(frame["d"], want)
 
 
+def plain_mcd(x, rng):
+    """FAST-MCD: logarithm of the least determinant over many starts of five points."""
+    best = None
+    floor = np.diag(np.square(quality.FLOOR))
+    for _ in range(60):
+        some = x[rng.choice(len(x), 5, replace=False)]
+        centre, cov = some.mean(axis=0), np.cov(some.T, bias=True) + floor
+        for _ in range(40):
+            d = np.einsum("ij,jk,ik->i", x - centre, np.linalg.inv(cov), x - centre)
+            near = x[d <= np.quantile(d, quality.H)]
+            centre, cov = near.mean(axis=0), np.cov(near.T, bias=True) * quality.GROW + floor
+        det = np.linalg.slogdet(cov)[1]
+        best = (det, centre, cov) if best is None or det < best[0] else best
+    return best
+
+
+def test_estimates_reach_the_least_determinant(spark):
+    rng = np.random.default_rng(34)
+    rows, want = [], {}
+    for g in range(3):
+        mix = np.eye(4) + 0.3 * rng.normal(size=(4, 4))
+        clean, far = rng.normal(size=(240, 4)) @ mix, rng.normal(size=(60, 4)) * 0.5 + 8 * (g + 1)
+        x = np.vstack([clean, far])
+        want[str(g)] = plain_mcd(x, rng)
+        rows += [(str(g), *map(float, v)) for v in x]
+    got = quality.estimates(spark.createDataFrame(rows, "g string, x0 double, x1 double, x2 double, x3 double")).toPandas().set_index("g")
+    for g, (det, centre, _) in want.items():
+        assert got.loc[g, "det"] <= det + 0.1
+        assert np.allclose([got.loc[g, f"m{i}"] for i in range(4)], centre, atol=0.2)
+
+
+def test_a_text_may_fail_in_one_group_only(spark):
+    rng = random.Random(35)
+    odd = " ".join(w + "#" for w in prose(rng, 60).split())
+    rows = [(i, " ".join(w + "#" * (i % 2) for w in prose(rng, 60).split()), "en" if i % 2 else "de", "s", 1) for i in range(200)]
+    rows += [(900, odd, "en", "s", 1), (900, odd, "de", "s", 1)]
+    kept = [(r.doc_id, r.lang) for r in quality.keep_good(spark.createDataFrame(rows, DOCS)).collect() if r.doc_id == 900]
+    assert kept == [(900, "en")]
+
+
 def test_quality_odd_and_empty(spark):
     odd = odd_documents(spark)
     assert quality.judge(odd).count() == odd.count() and quality.keep_good(odd).columns == odd.columns
@@ -426,6 +507,14 @@ def test_near_links_with_small_chunks(spark):
     assert {p: find(p) for p in prints} == plain_components({p: p for p in prints})
 
 
+def test_near_dedup_keeps_other_texts_of_an_id(spark):
+    rng = random.Random(36)
+    a, b, c = prose(rng, 80), prose(rng, 80), prose(rng, 80)
+    rows = [(1, a), (5, a), (5, b), (None, a), (None, c), (6, c), (7, b)]
+    kept = simhash.drop_near_duplicates(spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOCS)).collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == [(1, a), (5, b), (6, c)]
+
+
 def test_simhash_odd_and_empty(spark):
     odd = odd_documents(spark)
     got = simhash.simhash_groups(odd).collect()
@@ -465,6 +554,39 @@ def test_site_templates_go(spark):
     assert html.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def site(i, menu=9):
+    links = "".join(f"<li><a href='/{i}/{k}'>topic {i * 7 + k}</a></li>" for k in range(menu))
+    return f"<body><div class='zz1'><ul>{links}</ul></div><div class='zz2'>deal {i} of today</div><h1>Head {i}</h1><p>story {i} that is told here</p><p>its end {i}</p><div class='zz3'>&copy; site {i}</div></body>"
+
+
+def test_templates_alone_clean_a_site(spark):
+    """Class names mean nothing here, texts differ from page to page, and no element names the article."""
+    rows = [(i, "https://host.example.com/a", site(i)) for i in range(30)]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), names=False).collect()}
+    assert got == {i: f"Head {i}\nstory {i} that is told here\nits end {i}" for i in range(30)}
+
+
+def test_menu_of_one_section_goes(spark):
+    """A menu on a third of a host's pages is a template there."""
+    menus = ["<div class=x><a href=/a>alpha</a> <a href=/b>beta</a></div>", "<section><a href=/c>gamma</a></section>", "<ul><li><a href=/d>delta</a></ul>"]
+    rows = [(i, "https://h.example.com/a", f"<body>{menus[i % 3]}<p>story {i}</p></body>") for i in range(60)]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), names=False).collect()}
+    assert got == {i: f"story {i}" for i in range(60)}
+
+
+def test_long_quoted_attributes(spark):
+    long = "a > b " * 40_000
+    pages_ = [f"<p title=\"{long}\">kept</p>", "<p title=\"never closed>one</p><p>two</p>", "<a title='it\"s'>x</a> y"]
+    assert [html.main_text(p) for p in pages_] == ["kept", "one\ntwo", "x y"]
+
+
+def test_pages_with_odd_columns_and_repeated_rows(spark):
+    row = (1, "http://h/", "<p>text</p>", "e", 5, ["t"], 7)
+    src = spark.createDataFrame([row, row, (None, None, None, None, None, None, None)], "page_id long, url string, html string, text string, hash long, templates array<string>, _salt long")
+    got = html.extract(src)
+    assert got.columns == ["page_id", "url", "text", "n_chars"] and sorted((str(r.page_id), r.text, r.n_chars) for r in got.collect()) == [("1", "text", 4), ("1", "text", 4), ("None", "", 0)]
+
+
 def test_copied_articles_are_no_template(spark):
     rows = [(i, "http://h/", "<article><div><p>the same article</p></div></article>") for i in range(50)]
     assert {r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()} == {"the same article"}
@@ -491,6 +613,22 @@ def test_chat_round_trip(spark):
     assert chat.format_conversations(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+@pytest.mark.parametrize("text", ["#" * n for n in range(1, 9)] + ["<</turn>", "</turn></turn>", "\\###", "\\\\</turn>", "#\\##", "# # ## ####x"])
+def test_no_control_string_survives(text):
+    got = chat.escape(text)
+    assert chat.unescape(got) == text and not any(c in got for c in chat.CONTROLS)
+    formatted, spans = chat.compile_template()([{"role": "assistant", "text": text}, {"role": "#" + text, "text": ""}])
+    assert chat.read_back(formatted) == [("assistant", text), ("#" + text, "")] and [formatted[a:b] for a, b in spans] == [got]
+
+
+def test_large_and_null_ids_stay_apart(spark):
+    big = 9_007_199_254_740_992
+    rows = [(big, 0, "user", "a", "x"), (big + 1, 0, "user", "b", "x"), (None, 0, "user", "c", "x")]
+    src = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, formatted string")
+    got = {(r.conv_id, r.n_turns) for r in chat.digest(chat.format_conversations(src)).collect()}
+    assert got == {(big, 1), (big + 1, 1), (None, 1)}
+
+
 def test_templates():
     render = chat.compile_template("{% for m in messages %}{% if loop.first and 1 < 2 %}[{{ m.role | upper }}]{% else %}{% generation %}{{ m['text'] + '!' }}{% endgeneration %}{% endif %}{% endfor %}")
     assert render([{"role": "user", "text": "q"}, {"role": "assistant", "text": "a"}]) == ("[USER]a!", [(6, 8)])
