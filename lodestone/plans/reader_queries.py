@@ -123,7 +123,7 @@ def reader_gemfile_lock_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifests.gemfile_lock_edges(_gems(spark, sf_dir))
 
 
-@query(f"""WITH {_PACKAGES} SELECT file, CASE WHEN name LIKE '%7' THEN 'fork/' || name ELSE 'x.org/' || name END AS name, CASE WHEN name LIKE '%7' THEN 'v9.0.0' ELSE 'v' || version || '.0' END AS version, 'production' AS env, NOT dev AS is_direct FROM pk WHERE name NOT LIKE '%8'""")
+@query(f"""WITH {_PACKAGES} SELECT file, CASE WHEN name LIKE '%7' THEN 'fork/' || name ELSE 'x.org/' || name END AS name, CASE WHEN name LIKE '%7' THEN 'v9.0.0' ELSE 'v' || version || '.0' END AS version, 'production' AS env, true AS is_direct FROM pk WHERE name NOT LIKE '%8'""")
 def reader_go_mod(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _packages(spark, sf_dir)
     need = F.concat(F.format_string("\tx.org/%s v%s.0", "name", "version"), F.when(F.col("dev"), " // indirect").otherwise(""))

@@ -167,15 +167,15 @@ def gemfile_lock_edges(files: DataFrame) -> DataFrame:
 
 
 def go_mod(files: DataFrame) -> DataFrame:
-    """require entries; ``// indirect`` ones are not direct; replaced ones carry their new name, local ones vanish."""
-    text = F.regexp_replace("content", r"(?m)\s*//(?! indirect).*$", "")
+    """require entries, all direct, ``// indirect`` ones too; replaced ones carry their new name, local ones vanish."""
+    text = F.regexp_replace("content", r"(?m)(^|\s)//.*$", "")
     block = lambda word: F.flatten(F.transform(F.regexp_extract_all(text, F.lit(rf"(?ms)^{word}\s*\((.*?)^\)"), F.lit(1)), lambda b: F.split(b, "\n")))
     single = lambda word: F.regexp_extract_all(text, F.lit(rf"(?m)^{word}[ \t]+([^(\s].*)$"), F.lit(1))
     lines = lambda word: files.select("file", F.explode(F.concat(block(word), single(word))).alias("t")).withColumn("t", F.btrim("t", F.lit(" \t\r"))).where("t <> ''")
-    need = lines("require").select("file", F.regexp_extract("t", r"^(\S+)", 1).alias("package"), F.regexp_extract("t", r"^\S+\s+(\S+)", 1).alias("version"), (~F.contains("t", F.lit("// indirect"))).alias("is_direct"))
+    need = lines("require").select("file", F.regexp_extract("t", r"^(\S+)", 1).alias("package"), F.regexp_extract("t", r"^\S+\s+(\S+)", 1).alias("version"))
     swap = lines("replace").select("file", F.regexp_extract("t", r"^(\S+)", 1).alias("package"), F.regexp_extract("t", r"=>\s*(\S+)", 1).alias("to"), F.regexp_extract("t", r"=>\s*\S+\s+(\S+)", 1).alias("to_version"))
     rows = need.join(swap, ["file", "package"], "left").where("to IS NULL OR NOT to RLIKE '^[./]'")
-    return _rows(rows, F.coalesce("to", "package"), locators.go_version(F.coalesce("to_version", "version")), direct=F.col("is_direct"))
+    return _rows(rows, F.coalesce("to", "package"), locators.go_version(F.coalesce(F.nullif("to_version", F.lit("")), "version")))
 
 
 def composer_lock(files: DataFrame) -> DataFrame:
