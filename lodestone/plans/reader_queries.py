@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.plans.registry import Registry
 from lodestone.sources import manifests
+from lodestone.sources import registry as reading
 from lodestone.sources.tables import table
 
 registry = Registry()
@@ -201,7 +202,7 @@ def reader_discovered(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = lambda df, before, after: df.select(F.concat(F.lit(before), "file", F.lit(after)).alias("path"), "content")
     pins = _files(rows, F.format_string("%s==%s", "name", "version"))
     carts = _files(rows, F.format_string('github "%s" "%s"', "name", "version"))
-    return manifests.read_all(named(pins, "a/", "/requirements-dev.txt").unionByName(named(carts, "", "/Cartfile.resolved")).unionByName(named(pins, "", "/notes.md")))
+    return reading.read_all(named(pins, "a/", "/requirements-dev.txt").unionByName(named(carts, "", "/Cartfile.resolved")).unionByName(named(pins, "", "/notes.md")))
 
 
 @query("""SELECT n_nationkey, CASE n_nationkey % 4 WHEN 0 THEN lower(n_name) WHEN 1 THEN 'redhat' WHEN 2 THEN 'busybox' ELSE 'linux' END AS id, CASE n_nationkey % 4 WHEN 0 THEN n_regionkey::VARCHAR WHEN 1 THEN '7.' || n_regionkey WHEN 2 THEN '1.3' || n_regionkey END AS version FROM nation""")

@@ -7,46 +7,14 @@ graphs (pruning, shrinking, spreading environments) are those of operators.graph
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions import locators
-from lodestone.functions.paths import basename
-
-# File names by which manifests are found, with the reader of each.
-RULES: tuple[tuple[str, str], ...] = (
-    (r"package-lock\.json", "npm_lock"),
-    (r"package\.json", "package_json"),
-    (r"yarn\.lock", "yarn_v1"),
-    (r"requirements.*\.txt", "requirements"),
-    (r"Pipfile\.lock", "pipfile_lock"),
-    (r"poetry\.lock|uv\.lock|Cargo\.lock|pdm\.lock", "toml_packages"),
-    (r"Gemfile\.lock", "gemfile_lock"),
-    (r"go\.mod", "go_mod"),
-    (r"composer\.lock", "composer_lock"),
-    (r"packages\.config", "packages_config"),
-    (r"pom\.xml", "pom"),
-    (r"renv\.lock", "renv_lock"),
-    (r"environment\.ya?ml", "conda_environment"),
-    (r"Package\.resolved", "swift_resolved"),
-    (r"Cartfile\.resolved", "cartfile_resolved"),
-    (r"installed", "apk_installed"),
-    (r"status", "dpkg_status"),
-)
 
 _STRINGS = "map<string,string>"
 
 
-def discover(files: DataFrame) -> DataFrame:
-    """``files`` (path, ...) that some rule names, with reader."""
-    reader = F.lit(None).cast("string")
-    for pattern, name in reversed(RULES):
-        reader = F.when(F.rlike(basename(F.col("path")), F.lit(f"^(?:{pattern})$")), name).otherwise(reader)
-    return files.withColumn("reader", reader).where("reader IS NOT NULL")
-
-
 def _rows(df: DataFrame, name: Column, version: Column, env: Column | str = "production", direct: Column | bool = True) -> DataFrame:
     env = F.lit(env) if isinstance(env, str) else env
     direct = F.lit(direct) if isinstance(direct, bool) else direct
@@ -254,21 +222,6 @@ def dpkg_status(files: DataFrame) -> DataFrame:
     return _rows(rows.join(bad, "file", "left_anti"), F.col("name"), F.concat_ws("#", "a", "v"))
 
 
-READERS: dict[str, Callable[[DataFrame], DataFrame]] = {
-    name: globals()[name] for _, name in RULES
-}
-
-
-def read_all(files: DataFrame) -> DataFrame:
-    """Dependencies of ``files`` (path, content), each by the reader that its name asks for: (reader, file, name, version, env, is_direct)."""
-    found = discover(files).withColumnRenamed("path", "file")
-    out = None
-    for name, reader in READERS.items():
-        part = reader(found.where(F.col("reader") == name).select("file", "content")).select(F.lit(name).alias("reader"), "*")
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
 def os_identity(release: Column, cpe: Column, busybox: Column) -> Column:
     """A struct of id and version from os-release text, a CPE line or a busybox banner; ``linux`` if none says."""
     quoted = lambda k: F.regexp_extract(release, rf'(?m)^{k}="?([^"\n]*)"?$', 1)

@@ -21,6 +21,7 @@ from lodestone.operators.components import connected_components
 from lodestone.operators.numbering import numbered
 from lodestone.plans import catalogue
 from lodestone.sources import manifests
+from lodestone.sources import registry as reading
 from lodestone.streaming import rescan
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -192,7 +193,7 @@ def test_keyword_positions(spark):
 
 def test_broken_manifests_give_nothing(spark):
     files = spark.createDataFrame([(f"d/{n}", text) for n in ("package-lock.json", "package.json", "composer.lock", "Pipfile.lock", "renv.lock", "Package.resolved", "go.mod", "Gemfile.lock", "requirements.txt") for text in ("", "{", None, "[1]", "{}")], "path string, content string")
-    assert manifests.read_all(files.where("content IS NULL OR content <> '['")).where("reader <> 'requirements'").count() == 0
+    assert reading.read_all(files.where("content IS NULL OR content <> '['")).where("reader <> 'requirements'").count() == 0
 
 
 def test_os_identity(spark):

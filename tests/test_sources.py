@@ -9,7 +9,7 @@ import tarfile
 import zipfile
 
 from lodestone.sources import archives, images
-from lodestone.sources.manifests import read_all
+from lodestone.sources.registry import read_all
 
 
 def tar(files, links=()):
