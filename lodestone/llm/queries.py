@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import chat, decontamination, html, licenses, lines, mixing, passages, quality, sharding, simhash, urls
+from lodestone.llm import alignment, chat, decontamination, html, licenses, lines, mixing, passages, quality, sharding, simhash, urls
 from lodestone.sources.tables import table
 
 SHARDS = 24
@@ -59,6 +59,10 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.report(table(spark, sf_dir, "documents"))
+
+
 def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return urls.judge(pages, urls.entries(spark, urls.ENTRIES)).select("row.page_id", "host", "path", "rule", "verdict")
@@ -75,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_page_text": op8_page_text,
     "op9_chat_format": op9_chat_format,
     "op10_licenses": op10_licenses,
+    "op11_token_alignment": op11_token_alignment,
     "op12_url_filter": op12_url_filter,
 }
 
