@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import alignment, chat, decontamination, html, licenses, lines, mixing, passages, quality, sharding, simhash, urls
+from lodestone.llm import alignment, chat, decontamination, html, licenses, lines, mixing, negatives, passages, quality, sharding, simhash, urls
 from lodestone.sources.tables import table
 
 SHARDS = 24
@@ -68,6 +68,11 @@ def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(pages, urls.entries(spark, urls.ENTRIES)).select("row.page_id", "host", "path", "rule", "verdict")
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(negatives.whole_vectors(table(spark, sf_dir, "embeddings"), F.col("vec_id"), label, F.col("embedding")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_passages": op2_passages,
@@ -81,10 +86,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_licenses": op10_licenses,
     "op11_token_alignment": op11_token_alignment,
     "op12_url_filter": op12_url_filter,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op4_mixing": mixing.oracle(),
     "op10_licenses": licenses.oracle(),
     "op12_url_filter": urls.oracle(),
+    "op13_hard_negatives": negatives.ORACLE,
 }
