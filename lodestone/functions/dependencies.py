@@ -43,20 +43,35 @@ def project_id(fetcher: Column, project: Column) -> Column:
     return F.concat(fetcher, F.lit("+"), project)
 
 
-def interpolate(text: Column, props: Column, most: int = 50) -> Column:
+def interpolate(text: Column, props: Column) -> Column:
     """``text`` with every ``${name}`` filled in from the map ``props``, again where a value holds names of its own.
 
-    A name that is not there becomes a note that says so, one whose value holds the name itself becomes the bare name.
-    ``most`` bounds the fillings, for names that lead to each other in a circle.
+    The first name is filled in, then the first of what that gives, and so on. A name that is not there becomes a note
+    that says so. A name that was filled in since the last note becomes bare and ends the filling. That leaves a bound of
+    (names + 1) times (marks + 1) fillings; beyond it names lead to each other in a circle, and what is left becomes bare.
     """
+    mark = r"\$\{([^}]*)\}"
+    marks = lambda c: F.size(F.regexp_extract_all(c, F.lit(mark), F.lit(0)))
+    most = (1 + F.size(props)) * (1 + marks(text) + F.aggregate(F.map_values(props), F.lit(0), lambda n, v: n + F.coalesce(marks(v), F.lit(0))))
 
     def fill(acc: Column, _: Column) -> Column:
-        name = F.regexp_extract(acc, r"\$\{([^${}]*)\}", 1)
-        mark = F.concat(F.lit("${"), name, F.lit("}"))
-        value = F.coalesce(F.try_element_at(props, name), F.concat(F.lit("PROPERTY NOT FOUND: "), name))
-        return F.when(F.rlike(acc, F.lit(r"\$\{[^${}]*\}")), F.replace(acc, mark, F.when(F.contains(value, mark), name).otherwise(value))).otherwise(acc)
-
-    return F.aggregate(F.sequence(F.lit(1), F.lit(most)), text, fill)
+        at, seen = acc["text"], acc["seen"]
+        before, after = F.substring_index(at, "${", 1), F.substring(at, F.instr(at, "${") + 2, F.length(at))
+        name, rest = F.substring_index(after, "}", 1), F.substring(after, F.instr(after, "}") + 1, F.length(after))
+        value = F.try_element_at(props, name)
+        none = F.array().cast("array<string>")
+        state = lambda t, s, done: F.struct(t.alias("text"), s.alias("seen"), F.lit(done).alias("done"))
+        return (
+            F.when(acc["done"] | ~F.rlike(at, F.lit(mark)), acc)
+            .when(F.array_contains(seen, name), state(F.concat(before, name, rest), seen, True))
+            .when(value.isNull(), state(F.concat(before, F.lit("PROPERTY NOT FOUND: "), name, rest), none, False))
+            .otherwise(state(F.concat(before, value, rest), F.array_append(seen, name), False))
+        )
+
+    start = F.struct(text.alias("text"), F.array().cast("array<string>").alias("seen"), F.lit(False).alias("done"))
+    end = F.aggregate(F.sequence(F.lit(1), most), start, fill)
+    filled = F.when(end["done"], end["text"]).otherwise(F.regexp_replace(end["text"], mark, "$1"))
+    return F.when(F.rlike(text, F.lit(mark)), filled).otherwise(text)
 
 
 def bare_version(version: Column) -> Column:

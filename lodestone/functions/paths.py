@@ -68,6 +68,15 @@ def basename(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/]*)$", 1)
 
 
+def joined(folder: Column, relative: Column) -> Column:
+    """``relative`` seen from ``folder``, without ``.``, ``..`` and doubled slashes; null if it is absolute or leaves the root."""
+    whole = F.filter(F.split(F.concat(folder, F.lit("/"), relative), "/"), lambda s: (s != "") & (s != "."))
+    none = F.array().cast("array<string>")
+    up = lambda at: F.when(F.size(at) > 0, F.slice(at, F.lit(1), F.size(at) - 1))
+    kept = F.aggregate(whole, none, lambda at, s: F.when(s == "..", up(at)).otherwise(F.when(at.isNotNull(), F.array_append(at, s))))
+    return F.when(~F.startswith(relative, F.lit("/")), F.array_join(kept, "/"))
+
+
 def glob_regex(glob: str) -> str:
     """An anchored pattern for a glob: ``*`` stays in a segment, ``**`` stands for any number of segments."""
     parts = [p for p in re.sub(r"/+", "/", glob.replace("\\", "/")).rstrip("/").split("/") if p != "."]

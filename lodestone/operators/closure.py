@@ -42,6 +42,27 @@ def reach(edges: DataFrame, seeds: DataFrame, inclusive: bool = True) -> DataFra
     return spark.read.schema(frontier.schema).parquet(*[p._lodestone_path for p in parts])
 
 
+def lineage(links: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, ancestor, depth): every node's line over ``links`` (node, to), of which a node has one at most; itself at depth 0.
+
+    Pointer jumping: a round doubles the length of the known lines and of the jump behind them, so there are as many
+    rounds as the logarithm of the longest line. In a circle each node is an ancestor of the others once.
+    """
+    links = materialise(links.select("node", "to").where("node IS NOT NULL AND to IS NOT NULL"), "links")
+    known = nodes.select("node").unionByName(links.select(F.col("to").alias("node"))).distinct()
+    lines = materialise(known.select("node", F.col("node").alias("ancestor"), F.lit(0).cast("long").alias("depth")), "lineage")
+    jump, length, most = links, 1, lines.count()
+    while not jump.isEmpty() and length <= most:
+        beyond = lines.select(F.col("node").alias("to"), "ancestor", (F.col("depth") + length).alias("depth"))
+        longer = lines.unionByName(jump.join(beyond, "to").select("node", "ancestor", "depth"))
+        new = materialise(longer.groupBy("node", "ancestor").agg(F.min("depth").alias("depth")), "lineage")
+        far = materialise(jump.join(jump.select(F.col("node").alias("to"), F.col("to").alias("_far")), "to").select("node", F.col("_far").alias("to")), "links")
+        discard(lines)
+        discard(jump)
+        lines, jump, length = new, far, 2 * length
+    return lines.join(nodes.select("node").distinct(), "node", "left_semi")
+
+
 def acyclic(edges: DataFrame) -> bool:
     """Whether ``edges`` hold no cycle: edges out of sources are taken off until none is left or none can go."""
     cur = materialise(edges.select("src", "dst").distinct(), "peel")

@@ -41,7 +41,7 @@ def dependency_locators(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("p_partkey", "kind", "l.fetcher", dependencies.type_of(F.col("l.fetcher")).alias("back"), dependencies.project_id(F.col("l.fetcher"), F.col("l.project")).alias("project_id"), "l.revision")
 
 
-@query("""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'v' || p_size || '-' || p_size WHEN 1 THEN 'x PROPERTY NOT FOUND: none' WHEN 2 THEN 'self' ELSE 'deep ' || p_size END AS filled FROM part""")
+@query("""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'v' || p_size || '-size' WHEN 1 THEN 'x PROPERTY NOT FOUND: none' WHEN 2 THEN 'a self' ELSE 'deep ' || p_size END AS filled FROM part""")
 def property_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.element_at(F.array(*map(F.lit, ("v${size}-${size}", "x ${none}", "${self}", "${one}"))), (F.col("p_partkey") % 4).cast("int") + 1)
     props = F.create_map(F.lit("size"), _text("p_size"), F.lit("self"), F.lit("a ${self}"), F.lit("one"), F.lit("${two}"), F.lit("two"), F.lit("deep ${size}"))
