@@ -17,7 +17,9 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import json
+import os
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -35,8 +37,10 @@ FILE_A, FILE_B = f"{FILES}/byte_bpe_50k.json", f"{FILES}/piece_bpe_32k.model"
 BLOCK = 1 << 15
 #: Bytes of text, and of events, that are worked on at once; a longer text is worked on alone.
 SLICE = 2 << 20
-#: Pieces whose tokens a worker keeps, and the longest of them.
-KEPT, KEPT_BYTES = 300_000, 100
+#: Known pieces beyond which a worker forgets them.
+KEPT = 250_000
+#: Rows of an Arrow batch; a batch of whole texts is small then.
+ROWS = 1000
 #: Different id pairs whose counts are broadcast to the documents; more are joined.
 PAIRS = 1_000_000
 
@@ -100,33 +104,48 @@ def _begins(data: np.ndarray, first: np.ndarray, words: bool) -> np.ndarray:
 
 
 class _Encoder:
-    """Token ids of texts, by pieces."""
+    """Token ids of pieces of texts: both tokenizers' ids of all known pieces, one piece after the other."""
 
     def __init__(self, v: Vocabulary) -> None:
         self.v = v
-        self.known: dict[bytes, tuple[np.ndarray, np.ndarray, bool]] = {}
-
-    def pieces(self, found: list[bytes]) -> list[tuple[np.ndarray, np.ndarray, bool]]:
-        """(A's ids, B's ids, whether both give the piece's bytes) of each piece; each begins with a space."""
-        new = [p for p in found if p not in self.known]
-        texts, odd = [], set()
-        for p in new:
-            try:
-                texts.append(p.decode())
-            except UnicodeDecodeError:  # no text: has no tokens
-                texts.append(" ")
-                odd.add(p)
-        got, v = {}, self.v
-        a = [e.ids for e in v.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        b = v.pieces.encode([t[1:] for t in texts], num_threads=1) if texts else []
-        for p, x, y in zip(new, a, b, strict=True):
-            right = p not in odd and b"".join(map(v.bytes_a.__getitem__, x)) == p == b"".join(map(v.bytes_b.__getitem__, y))
-            got[p] = np.array(x, v.kind), np.array(y, v.kind), right
-        out = [self.known.get(p) or got[p] for p in found]
+        self.clear()
+
+    def clear(self) -> None:
+        self.known: dict[bytes, int] = {}
+        self.ids = [np.zeros(0, self.v.kind)] * 2
+        self.sizes = [np.zeros(0, np.int64)] * 2
+        self.right = np.zeros(0, bool)  # whether both give the piece's bytes
+
+    def codes(self, found: list[bytes]) -> np.ndarray:
+        """Each piece's place among the known ones; a piece begins with a space."""
         if len(self.known) > KEPT:
-            self.known.clear()
-        self.known.update((p, x) for p, x in got.items() if len(p) <= KEPT_BYTES)
-        return out
+            self.clear()
+        known = self.known
+        new = [p for p in found if p not in known]
+        known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
+        if new:
+            self.learn(new)
+        return np.fromiter(map(known.__getitem__, found), np.int64, len(found))
+
+    def learn(self, new: list[bytes]) -> None:
+        v, odd = self.v, []
+        try:
+            texts = b"\n".join(new).decode().split("\n") if not any(b"\n" in p for p in new) else [p.decode() for p in new]
+        except UnicodeDecodeError:  # no text: has no tokens
+            odd = [i for i, p in enumerate(new) if p.decode(errors="replace").encode() != p]
+            texts = [" " if i in set(odd) else p.decode() for i, p in enumerate(new)]
+        many = ([e.ids for e in v.tokenizer.encode_batch_fast(texts, add_special_tokens=False)], v.pieces.encode([t[1:] for t in texts], num_threads=1))
+        length, right = np.fromiter(map(len, new), np.int64, len(new)), np.ones(len(new), bool)
+        right[odd] = False
+        for side, (lists, names, widths) in enumerate(zip(many, (v.bytes_a, v.bytes_b), (v.sizes_a, v.sizes_b), strict=True)):
+            n = np.fromiter(map(len, lists), np.int64, len(lists))
+            flat = np.fromiter(itertools.chain.from_iterable(lists), v.kind, n.sum())
+            owner = np.repeat(np.arange(len(new)), n)
+            right &= np.bincount(owner, widths[flat], len(new)) == length
+            if b"".join(map(names.__getitem__, flat.tolist())) != b"".join(new):
+                right &= np.fromiter((b"".join(map(names.__getitem__, x)) == p for x, p in zip(lists, new, strict=True)), bool, len(new))
+            self.ids[side], self.sizes[side] = np.concatenate([self.ids[side], flat]), np.concatenate([self.sizes[side], n])
+        self.right = np.concatenate([self.right, right])
 
 
 def _gather(flat: np.ndarray, sizes: np.ndarray, codes: np.ndarray) -> np.ndarray:
@@ -163,18 +182,17 @@ def _events(coder: _Encoder, keys: pa.Array, ids: pa.Array, texts: pa.Array) ->
     data, cuts = _string_data(pc.binary_join_element_wise(pa.scalar(" "), pc.fill_null(texts, ""), ""))
     begins = _begins(data, cuts[:-1], v.words)
     chunks = _binary(data, np.append(begins, len(data))).dictionary_encode()
-    codes = chunks.indices.to_numpy()
-    found = coder.pieces(chunks.dictionary.to_pylist())
+    codes = coder.codes(chunks.dictionary.to_pylist())[chunks.indices.to_numpy()]
     doc = np.searchsorted(cuts[1:], begins, "right")
-    wrong = ~np.array([x[2] for x in found])[codes]
+    wrong = ~coder.right[codes]
     none = np.bincount(doc, wrong, len(texts)) > 0
     none |= np.diff(cuts) == 1  # an empty text is the space alone
     use = ~none[doc]
     doc, codes = doc[use], codes[use]
     parts = []
     for side, sizes in ((0, v.sizes_a), (1, v.sizes_b)):
-        n = np.array([len(x[side]) for x in found], np.int64)
-        tokens = _gather(np.concatenate([x[side] for x in found]), n, codes)
+        n = coder.sizes[side]
+        tokens = _gather(coder.ids[side], n, codes)
         per = np.bincount(doc, n[codes], len(texts)).astype(np.int64)
         blocks = -(-per // BLOCK)
         owner = np.repeat(np.arange(len(texts)), blocks)
@@ -199,8 +217,6 @@ def events(docs: DataFrame, file_a: str = FILE_A, file_b: str = FILE_B, id_col:
     src = docs.select(F.monotonically_increasing_id().alias("key"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         coder = _Encoder(vocabulary(file_a, file_b))
         for batch in batches:
@@ -376,7 +392,13 @@ def pair_counts(aligned: DataFrame, many_b: int) -> DataFrame:
 def report(docs: DataFrame, file_a: str = FILE_A, file_b: str = FILE_B, pairs: int = PAIRS) -> DataFrame:
     """(doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256) of every document; odd rows as in :func:`align`."""
     many_b = len(vocabulary(file_a, file_b).bytes_b)
-    aligned = materialise(align(docs, file_a, file_b).drop("groups"), "aligned")
+    conf, batch = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(batch)
+    conf.set(batch, str(ROWS))
+    try:
+        aligned = materialise(align(docs, file_a, file_b).drop("groups"), "aligned")
+    finally:
+        conf.set(batch, before)
     counts = materialise(pair_counts(aligned, many_b), "pair-counts")
     small = counts.count() <= pairs
     links = aligned.select("*", F.explode_outer(F.arrays_zip("pairs", "ns")).alias("_l")).withColumns({"pair": F.col("_l.pairs"), "n": F.col("_l.ns")})
