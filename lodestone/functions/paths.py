@@ -95,6 +95,17 @@ def glob_regex(glob: str) -> str:
     return f"^{out}$"
 
 
+def glob_pattern(glob: Column) -> Column:
+    """As :func:`glob_regex`, for globs that stand in a column."""
+    g = F.regexp_replace(F.regexp_replace(F.regexp_replace(glob, r"/+", "/"), r"(^|(?<=/))(\./)+", ""), r"(/\.)?/?$", "")
+    g = F.regexp_replace(g, r"([^A-Za-z0-9_ /*])", r"\\$1")
+    g = F.regexp_replace(F.regexp_replace(g, r"(^|(?<=/))\*\*/", "\x01"), r"(^|/)\*\*$", "\x02$1\x03")
+    g = F.regexp_replace(g, r"\*+", "[^/]*")
+    for mark, to in (("\x01", "(.*/)?"), ("\x02/\x03", "(/.*)?"), ("\x02\x03", ".*")):
+        g = F.replace(g, F.lit(mark), F.lit(to))
+    return F.concat(F.lit("^"), g, F.lit("$"))
+
+
 def literal_prefix(glob: str) -> list[str]:
     """Segments of a glob before the first with a wildcard."""
     out = []

@@ -63,16 +63,22 @@ def lineage(links: DataFrame, nodes: DataFrame) -> DataFrame:
     return lines.join(nodes.select("node").distinct(), "node", "left_semi")
 
 
-def acyclic(edges: DataFrame) -> bool:
-    """Whether ``edges`` hold no cycle: edges out of sources are taken off until none is left or none can go."""
+def left_in_circles(edges: DataFrame) -> DataFrame:
+    """The edges (src, dst) that lie on cycles or between them: edges out of sources and into sinks are taken off until none can go."""
     cur = materialise(edges.select("src", "dst").distinct(), "peel")
     n = cur.count()
     while n:
-        targets = cur.select(F.col("dst").alias("src")).distinct()
-        nxt = materialise(cur.join(targets, "src", "left_semi"), "peel")
+        on = cur.join(cur.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
+        on = on.join(cur.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
+        nxt = materialise(on, "peel")
         discard(cur)
         cur, before = nxt, n
         n = cur.count()
         if n == before:
-            return False
-    return True
+            break
+    return cur
+
+
+def acyclic(edges: DataFrame) -> bool:
+    """Whether ``edges`` hold no cycle."""
+    return left_in_circles(edges).isEmpty()
