@@ -1,4 +1,4 @@
-"""Printed dependency trees made from the test tables: forty parts each are one file of five trees."""
+"""Printed trees and bracketed sources made from the test tables: forty parts each are one file."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.plans.registry import Registry
-from lodestone.sources import trees
+from lodestone.sources import brackets, locks, trees
 from lodestone.sources.tables import table
 
 registry = Registry()
@@ -87,3 +87,46 @@ def reader_rebar_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_REBAR} SELECT a.file, b.name AS src, a.name AS dst FROM m a JOIN m b ON b.k = a.up")
 def reader_rebar_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trees.rebar3(*_rebar(spark, sf_dir))[1]
+
+
+def _setup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    item = F.when(F.col("k") % 3 == 0, F.format_string("'p%s[a, b] >= 1.%s, < 9',  # ] one", "k", "size")).when(F.col("k") % 3 == 1, F.format_string('"p%s",', "k")).otherwise(F.format_string('"p%s @ https://h/%s ; os_name == \'a\'",', "k", "size"))
+    return _printed(spark, sf_dir, item, "setup(\n    author='[',\n    name = 'app', packages=[x(1), {2: 3}],\n    install_requires=[\n", "\n    ],\n)\n")
+
+
+@query(f"""WITH {_ROWS} SELECT file, 'p' || k AS name, CASE k % 3 WHEN 0 THEN '>=1.' || size || ',<9' WHEN 2 THEN 'https://h/' || size END AS version, 'production' AS env, true AS is_direct FROM n""")
+def reader_setup_py(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brackets.setup([brackets.setup_py(_setup(spark, sf_dir))])[0]
+
+
+_INSTALLED = f"""{_ROWS}, e AS (SELECT a.file, a.k AS src, b.k AS dst FROM n a JOIN n b ON b.file = a.file AND b.i IN (2 * a.i + 1, 2 * a.i + 2) AND a.i % 5 <> 4)"""
+
+
+@query(f"""WITH RECURSIVE {_INSTALLED}, r(file, k, d) AS (SELECT file, dst, 1 FROM e WHERE src % 40 = 0 UNION ALL SELECT e.file, e.dst, r.d + 1 FROM r JOIN e ON e.src = r.k)
+SELECT r.file, 'p' || r.k AS name, '==1.' || n.size AS version, 'production' AS env, bool_or(r.d = 1) AS is_direct FROM r JOIN n ON n.k = r.k GROUP BY ALL""")
+def reader_setup_installed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    needs = F.array_join(F.transform(F.array(2 * F.col("i") + 1, 2 * F.col("i") + 2), lambda j: F.concat(F.lit("P"), (F.col("k") - F.col("i") + j).cast("string"))), ", ")
+    block = F.format_string("Name: p%s\nVersion: 1.%s\nRequires: %s\n---", "k", "size", F.when(F.col("i") % 5 == 4, "").otherwise(needs))
+    shown = locks.pip_show(_printed(spark, sf_dir, block))
+    files = _printed(spark, sf_dir, F.when(F.col("i") == 0, F.format_string("setup(name='P%s', install_requires=['unused'])", "k")).otherwise("#"))
+    return brackets.setup([brackets.setup_py(files)], shown)[0]
+
+
+def _lein(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scope = F.when(F.col("k") % 3 == 0, ' :scope "test"').when(F.col("k") % 5 == 0, ' :exclusions [[a/b "9"]] :scope "provided"').otherwise("")
+    key = F.format_string('[%s "1.%s"%s]', F.when(F.col("k") % 4 == 1, F.format_string("p%s", "k")).otherwise(F.format_string("g/p%s", "k")), "size", scope)
+    line = F.when(F.col("i") % 8 == 0, F.concat(F.when(F.col("i") == 0, "").otherwise("}, ; next }\n"), key, F.lit(" {"))).otherwise(F.concat(F.lit(" "), key, F.lit(" nil")))
+    return _printed(spark, sf_dir, line, "{", "}}\n")
+
+
+_NAME = "CASE WHEN {k} % 4 = 1 THEN 'p' || {k} ELSE 'g' END || ':p' || {k}"
+
+
+@query(f"""WITH {_ROWS} SELECT file, {_NAME.format(k="k")} AS name, '1.' || size AS version, CASE WHEN k % 3 = 0 THEN 'testing' WHEN k % 5 = 0 THEN 'provided' END AS env, i % 8 = 0 AS is_direct FROM n""")
+def reader_lein_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brackets.lein_tree(_lein(spark, sf_dir))[0]
+
+
+@query(f"""WITH {_ROWS} SELECT file, {_NAME.format(k="(k - k % 8)")} AS src, {_NAME.format(k="k")} AS dst FROM n WHERE i % 8 > 0""")
+def reader_lein_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brackets.lein_tree(_lein(spark, sf_dir))[1].select("file", F.col("src.name").alias("src"), F.col("dst.name").alias("dst"))
