@@ -158,11 +158,28 @@ def _ids(parts: Column, table: Column) -> Column:
     return F.filter(found, lambda x: x.isNotNull())
 
 
+def _run(ids: tuple[str, ...]) -> str:
+    """:func:`pattern` for Java's engine: what lies between two identifiers is passed over in a loop that never goes back, so it needs no stack."""
+    return "," + "".join(f"(?:(?!{i},)[A-Za-z0-9]++,)*+{i}," if k else f"{i}," for k, i in enumerate(ids))
+
+
 def _matched(sequence: Column) -> Column:
-    """Names of the rules that match ``,id,...,``, in the rules' order."""
-    rules = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(pattern(ids)).alias("p")) for name, ids in RULES])
+    """Names of the rules that match ``,id,...,``, in the rules' order.
+
+    A rule is tried if all its identifiers are there, and only up to the last place of its last one.
+    """
+    fields = lambda name, ids: F.struct(F.lit(name).alias("name"), F.lit(_run(ids)).alias("p"), F.array(*[F.lit(f",{i},") for i in ids]).alias("ids"))
+    rules = F.array(*[fields(name, ids) for name, ids in RULES])
     start = F.struct(sequence.alias("s"), F.array().cast("array<string>").alias("names"))
-    step = lambda acc, r: F.when(F.regexp_like(acc["s"], r["p"]), F.struct(F.regexp_replace(acc["s"], r["p"], F.lit(",")).alias("s"), F.concat(acc["names"], F.array(r["name"])).alias("names"))).otherwise(acc)
+
+    def step(acc: Column, r: Column) -> Column:
+        there = F.forall(r["ids"], lambda i: F.contains(acc["s"], i))
+        tail = F.call_function("substring_index", acc["s"], F.element_at(r["ids"], -1), F.lit(-1))
+        head = F.substring(acc["s"], F.lit(1), F.length(acc["s"]) - F.length(tail))
+        left = F.regexp_replace(head, r["p"], F.lit(","))
+        found = F.struct(F.concat(left, tail).alias("s"), F.concat(acc["names"], F.array(r["name"])).alias("names"))
+        return F.when(there & F.regexp_like(head, r["p"]), found).otherwise(acc)
+
     return F.aggregate(rules, start, step, lambda acc: acc["names"])
 
 
@@ -172,7 +189,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     sentence_ids: identifiers joined by commas, those of lines and then those of sentences that lines don't give;
     licenses: names of matched rules, ascending, joined by `|`, '' if none; n_known: identifiers found. A null or
     empty text has none; null ids and repeated rows pass through; an empty table gives an empty result; other
-    columns are ignored.
+    columns are ignored. Rules are matched in one pass over a text's identifiers each, however many there are.
     """
     table = F.create_map(*[F.lit(x) for pair in known().items() for x in pair])
     text = F.coalesce(F.col(text_col), F.lit(""))

@@ -674,3 +674,21 @@ def test_clean_part_of_a_worn_passage_counts():
     other[4::8] = draw(7)
     found = passages.aligned(np.concatenate([worn, same]), np.concatenate([other, same]), 46)
     assert len(found) == 1 and found[0][3] == 119 and found[0][2] <= 60 and found[0][4] >= 0.8
+
+
+def test_licenses_of_very_long_texts(spark):
+    """An attribution file: rules that wait for a sentence that comes after very many others, or never."""
+    name = lambda i: next(t for t, x in licenses.SENTENCES.items() if x == i)
+    grant = next(ids for n, ids in licenses.RULES if n == "BSD-3-Clause" and len(ids) > 1)
+    many = ["Released under the MIT License."] * 200_000
+    texts = ["\n".join([name(grant[0]), *many]), "\n".join([name(grant[0]), *many, *map(name, grant[1:])]), "\n".join([name(grant[0])] * 50_000 + [name(i) for i in grant[1:]])]
+    got = {r.doc_id: (r.n_known, r.licenses) for r in licenses.scan(documents(spark, texts)).collect()}
+    assert got[1] == (200_001, "MIT") and got[2][0] == 200_000 + len(grant) and "BSD-3-Clause" in got[2][1].split("|") and got[3][1] == "BSD-3-Clause"
+
+
+def test_license_runs_are_lazy_patterns():
+    rng = random.Random(10)
+    for _ in range(2000):
+        ids = tuple(rng.choice(["a", "ab", "b", "c"]) for _ in range(rng.randrange(1, 4)))
+        text = "," + "".join(rng.choice(["a", "ab", "b", "c", "d"]) + "," for _ in range(rng.randrange(12)))
+        assert re.sub(licenses._run(ids), ",", text) == re.sub(licenses.pattern(ids), ",", text)
