@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.plans.registry import Registry
-from lodestone.sources import brackets, locks, trees
+from lodestone.sources import brackets, locks, rpm, trees
 from lodestone.sources.tables import table
 
 registry = Registry()
@@ -130,3 +130,37 @@ def reader_lein_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {_ROWS} SELECT file, {_NAME.format(k="(k - k % 8)")} AS src, {_NAME.format(k="k")} AS dst FROM n WHERE i % 8 > 0""")
 def reader_lein_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return brackets.lein_tree(_lein(spark, sf_dir))[1].select("file", F.col("src.name").alias("src"), F.col("dst.name").alias("dst"))
+
+
+def _number(n: Column) -> Column:
+    """Four bytes, the first the highest."""
+    return F.unhex(F.lpad(F.hex(n.cast("long")), 8, "0"))
+
+
+def _headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(file, package, blob): a package header for each part, in the older form without a region; every ninth one is broken."""
+    k, nul = F.col("p_partkey"), F.lit(b"\0")
+    texts = [(1000, F.concat(F.lit("pkg"), k.cast("string"))), (1001, F.concat(F.lit("1."), F.col("p_size").cast("string"))), (1002, F.lit("7.el9")), (1022, F.when(k % 2 == 0, "x86_64").otherwise("noarch"))]
+    data, index, at = F.unhex(F.lit("")), [], F.lit(0)
+    epoch = k % 3 == 0
+    for tag, text in texts:
+        kind = F.when((k % 9 == 4) & F.lit(tag == 1022), 11).otherwise(6)
+        index += [_number(F.lit(tag)), _number(kind), _number(at), _number(F.lit(1))]
+        data, at = F.concat(data, F.encode(text, "UTF-8"), nul), at + F.length(text) + 1
+    pad = F.pmod(-at, F.lit(4))
+    index += [F.when(epoch, F.concat(_number(F.lit(1003)), _number(F.lit(4)), _number(at + pad), _number(F.lit(1)))).otherwise(F.unhex(F.lit("")))]
+    data = F.when(epoch, F.concat(data, F.substring(F.lit(b"\0\0\0\0"), F.lit(1), pad), _number(k % 5))).otherwise(data)
+    blob = F.concat(_number(F.when(epoch, 5).otherwise(4)), _number(F.length(data)), *index, data)
+    return table(spark, sf_dir, "part").select(F.concat(F.lit("f"), F.floor(k / 40).cast("string")).alias("file"), (k % 40 + 1).alias("package"), blob.alias("blob"))
+
+
+@query(f"""WITH {_ROWS} SELECT file, 'pkg' || k || '#sles#15.3' AS name, CASE WHEN k % 2 = 0 THEN 'x86_64' ELSE 'noarch' END || '#' || CASE WHEN k % 3 = 0 THEN k % 5 || ':' ELSE '' END || '1.' || size || '-7.el9' AS version,
+'production' AS env, true AS is_direct FROM n WHERE k % 9 <> 4""")
+def reader_rpm_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blobs = _headers(spark, sf_dir)
+    return rpm.packages(blobs, blobs.select("file", F.lit("sles").alias("id"), F.lit("15.3").alias("release")).distinct())[0]
+
+
+@query(f"WITH {_ROWS} SELECT file, i + 1 AS package, 'unknown type' AS problem FROM n WHERE k % 9 = 4")
+def reader_rpm_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rpm.headers(_headers(spark, sf_dir))[1]
