@@ -86,16 +86,16 @@ def find_all(patterns: Mapping[str, re.Pattern], text: str) -> list[tuple]:
     return out
 
 
-def keyword_matches(files: DataFrame, patterns: Mapping[str, str], path_col: str = "path", text_col: str = "text") -> DataFrame:
-    """(path, name, ordinal, match): matches of named patterns, in text order from 0; in the engine's own regular expressions."""
-    parts = []
-    for name, pattern in patterns.items():
-        hit = files.where(F.rlike(text_col, F.lit(pattern))).select(F.col(path_col).alias("path"), F.lit(name).alias("name"), F.posexplode(F.regexp_extract_all(text_col, F.lit(pattern), F.lit(0))).alias("ordinal", "match"))
-        parts.append(hit)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+def keyword_matches(files: DataFrame, patterns: Mapping[str, str], path_col: str = "path", text_col: str = "text", skip: str | None = None) -> DataFrame:
+    """(path, name, ordinal, match): matches of named patterns, in text order from 0; in the engine's own regular expressions.
+
+    All patterns are looked for in one pass over the texts. The file at ``skip``, that of the patterns, is left out.
+    """
+    if skip is not None:
+        files = files.where(F.col(path_col) != skip)
+    one = lambda name, pattern: F.transform(F.regexp_extract_all(text_col, F.lit(pattern), F.lit(0)), lambda m, i: F.struct(F.lit(name).alias("name"), i.alias("ordinal"), m.alias("match")))
+    every = F.concat(*[F.coalesce(one(n, p), F.array().cast("array<struct<name:string,ordinal:int,match:string>>")) for n, p in patterns.items()])
+    return files.select(F.col(path_col).alias("path"), F.explode(every).alias("m")).select("path", "m.*")
 
 
 def keyword_positions(files: DataFrame, patterns: Mapping[str, str], path_col: str = "path", text_col: str = "text") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import content, locators, paths
+from lodestone.functions.phrases import phrase_matches
 from lodestone.operators import joins, rollups, targets
 from lodestone.operators.graph import Graph
 from lodestone.plans.registry import Registry
@@ -301,6 +302,23 @@ def license_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollups.match_units(content.keyword_matches(table(spark, sf_dir, "documents"), _PATTERNS, "doc_id"))
 
 
+_LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+@query(f"""WITH p AS (SELECT 'i' || item_id AS name, ' ' || array_to_string(list_filter(regexp_split_to_array({_LOW}, '[^a-z0-9]+'), lambda w: w <> '')[2:6], ' ') || ' ' AS phrase FROM benchmark),
+t AS (SELECT doc_id, ' ' || array_to_string(list_filter(regexp_split_to_array({_LOW}, '[^a-z0-9]+'), lambda w: w <> ''), ' ') || ' ' AS t FROM documents),
+f AS (SELECT doc_id, name, left(t, instr(t, phrase)::INT) AS head FROM t JOIN p ON length(trim(phrase)) > 0 AND contains(t, phrase))
+SELECT doc_id, name, length(head) - length(replace(head, ' ', '')) - 1 AS first_word FROM f""")
+def phrases_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five words of each benchmark item, where they first stand in a document."""
+    low = F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    some = F.slice(F.filter(F.split(low, "[^a-z0-9]+"), lambda w: w != ""), 2, 5)
+    phrases = table(spark, sf_dir, "benchmark").select(F.concat(F.lit("i"), F.col("item_id").cast("string")).alias("name"), F.array_join(some, " ").alias("phrase"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), "text")
+    found = phrase_matches(docs, phrases).groupBy("path", "name").agg(F.min("start_word").alias("first_word"))
+    return found.select(F.col("path").cast("long").alias("doc_id"), "name", "first_word")
+
+
 @query()
 def keyword_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return content.keyword_positions(table(spark, sf_dir, "documents"), _PATTERNS, "doc_id")
