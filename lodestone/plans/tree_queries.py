@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.plans.registry import Registry
-from lodestone.sources import brackets, gobinary, locks, rpm, trees
+from lodestone.sources import brackets, declared, gobinary, locks, rpm, trees
 from lodestone.sources.tables import table
 
 registry = Registry()
@@ -187,3 +187,27 @@ def _binaries(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {_ROWS} SELECT file, i + 1 AS nth, 'go' AS fetcher, CASE WHEN k % 5 = 0 THEN 'r/p' ELSE 'm/p' END || k AS project, CASE WHEN k % 5 = 0 THEN 'c0bba94a' || lpad(CAST(size AS VARCHAR), 4, '0') ELSE 'v1.' || size || '.0' END AS revision FROM n""")
 def reader_go_binaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gobinary.units(*gobinary.build_info(gobinary.chunked(_binaries(spark, sf_dir), 2048)))
+
+
+def _declared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("k")
+    entry = (
+        F.when(k % 5 == 0, F.format_string("- {type: pypi, name: p%s, version: 1.%s0}", k, "size"))
+        .when(k % 5 == 1, F.format_string("- {type: rpm-generic, name: p%s, version: 1.%s, epoch: 3, arch: noarch, os: Fedora, osVersion: 40}", k, "size"))
+        .when(k % 5 == 2, F.format_string("- {type: %s, name: p%s}", F.when(k % 2 == 0, "cocoapods").otherwise("what"), k))
+        .when(k % 5 == 3, F.format_string("- {type: apk, name: p%s, os: alpine, osVersion: 3, arch: %s}", k, F.when(k % 2 == 0, "x86_64").otherwise('""')))
+        .otherwise(F.format_string("- {type: gem, name: p%s, url: u}", k))
+    )
+    return _printed(spark, sf_dir, entry, "version: 1\nlocator-dependencies:\n- npm+left-pad$1.0\n- {locator: git+g/r}\nreferenced-dependencies:\n", "\n")
+
+
+@query(f"""WITH {_ROWS} SELECT file, CASE k % 5 WHEN 0 THEN 'pip' WHEN 1 THEN 'rpm-generic' WHEN 2 THEN 'pod' ELSE 'apk' END AS fetcher, 'p' || k || CASE k % 5 WHEN 1 THEN '#Fedora#40' WHEN 3 THEN '#alpine#3' ELSE '' END AS project,
+CASE k % 5 WHEN 0 THEN '1.' || size || '0' WHEN 1 THEN 'noarch#3:1.' || size WHEN 3 THEN 'x86_64#' END AS revision FROM n WHERE k % 5 < 2 OR k % 5 < 4 AND k % 2 = 0
+UNION ALL SELECT DISTINCT file, 'npm', 'left-pad', '1.0' FROM n UNION ALL SELECT DISTINCT file, 'git', 'g/r', NULL FROM n""")
+def reader_declared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return declared.declared(_declared(spark, sf_dir)).imports.drop("list", "at")
+
+
+@query(f"""WITH {_ROWS} SELECT file, i AS at, CASE k % 5 WHEN 2 THEN 'dep type: what not supported' WHEN 3 THEN 'arch is required' ELSE 'url is not allowed here' END AS problem FROM n WHERE k % 5 = 4 OR k % 5 IN (2, 3) AND k % 2 = 1""")
+def reader_declared_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return declared.declared(_declared(spark, sf_dir)).problems.drop("list")
