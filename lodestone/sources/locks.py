@@ -300,12 +300,80 @@ def maven_dot_edges(files: DataFrame) -> DataFrame:
     return _edges(rows.select("file", F.concat_ws("@", "x.name", "x.version").alias("src"), F.concat_ws("@", "y.name", "y.version").alias("dst")))
 
 
-# Configurations that do not ship.
+# Configurations that do not ship, of Gradle itself and of its usual plugins.
 TEST_CONFIGURATIONS = (
-    "aggregateCodeCoverageReportResults jacocoAgent jacocoAggregation jacocoAnt testImplementation testCompileOnly testRuntimeOnly testCompileClasspath testRuntimeClasspath testFixturesApi "
-    "testFixturesImplementation testFixturesRuntimeOnly testFixturesCompileOnly testFixturesRuntimeClasspath testFixturesCompileClasspath testFixturesApiElements"
-).split()
-DEV_CONFIGURATIONS = "compileOnly spotbugs spotbugsPlugins spotbugsSlf4j".split()
+    "aggregateCodeCoverageReportResults",
+    "jacocoAgent",
+    "jacocoAggregation",
+    "jacocoAnt",
+    "testImplementation",
+    "testCompileOnly",
+    "testRuntimeOnly",
+    "testCompileClasspath",
+    "testRuntimeClasspath",
+    "testFixturesApi",
+    "testFixturesImplementation",
+    "testFixturesRuntimeOnly",
+    "testFixturesCompileOnly",
+    "testFixturesRuntimeClasspath",
+    "testFixturesCompileClasspath",
+    "testFixturesApiElements",
+)
+DEV_CONFIGURATIONS = (
+    "compileOnly",
+    "spotbugs",
+    "spotbugsPlugins",
+    "spotbugsSlf4j",
+)
+# What Android's plugin adds: checks, debug builds, compilers; then tests, by name and by how they begin.
+ANDROID_DEV = (
+    "lintChecks",
+    "lintClassPath",
+    "lintPublish",
+    "debugApiDependenciesMetadata",
+    "debugCompileClasspath",
+    "debugCompileOnly",
+    "debugCompileOnlyDependenciesMetadata",
+    "debugImplementationDependenciesMetadata",
+    "debugIntransitiveDependenciesMetadata",
+    "debugReverseMetadataValues",
+    "debugRuntimeClasspath",
+    "debugRuntimeOnlyDependenciesMetadata",
+    "compileOnlyDependenciesMetadata",
+    "releaseCompileOnly",
+    "releaseCompileOnlyDependenciesMetadata",
+    "debugWearBundling",
+    "debugAnnotationProcessorClasspath",
+    "releaseAnnotationProcessorClasspath",
+    "androidJdkImage",
+    "kotlinCompilerClasspath",
+    "kotlinCompilerPluginClasspathDebug",
+    "kotlinCompilerPluginClasspathDebugAndroidTest",
+    "kotlinCompilerPluginClasspathDebugUnitTest",
+    "kotlinCompilerPluginClasspathReleaseUnitTest",
+    "kotlinCompilerPluginClasspathRelease",
+    "kotlinKlibCommonizerClasspath",
+    "kotlinNativeCompilerPluginClasspath",
+)
+ANDROID_TEST = (
+    "androidJacocoAnt",
+    "testApiDependenciesMetadata",
+    "testCompileOnlyDependenciesMetadata",
+    "testDebugApiDependenciesMetadata",
+    "testDebugCompileOnlyDependenciesMetadata",
+    "testDebugImplementationDependenciesMetadata",
+    "testDebugIntransitiveDependenciesMetadata",
+    "testDebugRuntimeOnlyDependenciesMetadata",
+    "testImplementationDependenciesMetadata",
+    "testIntransitiveDependenciesMetadata",
+    "testReleaseApiDependenciesMetadata",
+    "testReleaseCompileOnlyDependenciesMetadata",
+    "testReleaseImplementationDependenciesMetadata",
+    "testReleaseIntransitiveDependenciesMetadata",
+    "testReleaseRuntimeOnlyDependenciesMetadata",
+    "testRuntimeOnlyDependenciesMetadata",
+)
+ANDROID_TEST_BEGINS = ("androidTest", "debugAndroidTest", "releaseUnitTest", "debugUnitTest")
 
 _COMPONENT = "struct<type:string,name:string,version:string>"
 _GRADLE = f"name string, configurations array<struct<name:string,directComponents:array<{_COMPONENT}>,dependencies:array<struct<node:{_COMPONENT},outgoing:array<{_COMPONENT}>>>>>"
@@ -332,8 +400,9 @@ def gradle(files: DataFrame, only: list[str] | None = None) -> DataFrame:
     node = rows.select("file", F.col("c.name").alias("conf"), F.explode("c.dependencies").alias("x"))
     deep = node.select("file", "conf", *_component("x.node"), F.lit(False).alias("d")).unionByName(node.select("file", "conf", F.explode("x.outgoing").alias("o")).select("file", "conf", *_component("o"), F.lit(False).alias("d")))
     all_ = direct.unionByName(deep)
-    android_test = F.rlike("conf", F.lit(r"^(androidTest|test|[a-z]\w*(UnitTest|AndroidTest))\w*(Implementation|CompileClasspath|RuntimeClasspath|Api|CompileOnly|RuntimeOnly)$"))
-    env = F.when(F.col("conf").isin(DEV_CONFIGURATIONS), "development").when(F.col("conf").isin(TEST_CONFIGURATIONS) | android_test, "testing").otherwise(F.col("conf"))
+    tests = F.col("conf").isin(*TEST_CONFIGURATIONS)
+    android_tests = F.col("conf").isin(*ANDROID_TEST) | F.rlike("conf", F.lit(f"^({'|'.join(ANDROID_TEST_BEGINS)})"))
+    env = F.when(F.col("conf").isin(*DEV_CONFIGURATIONS), "development").when(tests, "testing").when(F.col("conf").isin(*ANDROID_DEV), "development").when(android_tests, "testing").otherwise(F.col("conf"))
     all_ = all_.withColumn("env", F.col("conf") if only else env).groupBy("file", "name", "version", "env").agg(F.bool_or("d").alias("d"))
     return _rows(all_, F.col("name"), F.col("version"), F.col("env"), F.col("d"))
 

@@ -216,3 +216,14 @@ def test_others(read):
     assert read(locks.rpm_spec, "Name: x\nBuildRequires: gcc\nRequires: a >= 1.0, b\nRequires: %{m}-libs = 2\nRequires(post): c = 3\n") == {("a", "1.0", "production", True), ("b", None, "production", True), ("c", "3", "production", True)}
     conan = '{"graph": {"nodes": {"0": {"ref": "conanfile"}, "1": {"ref": "z/1", "name": "z", "version": "1", "package_id": "p", "context": "host", "settings": {"os": "L"}}, "2": {"name": "t", "version": "2", "context": "build"}}}}'
     assert read(locks.conan_graph, conan) == {("z", "1?os=L&package_id=p", "production", True), ("t", "2", "development", True)}
+
+
+@pytest.mark.parametrize(("names", "env"), [
+    (["lintClassPath", "debugRuntimeClasspath", "spotbugs", "compileOnly"], "development"),
+    (["testApiDependenciesMetadata", "testReleaseApiDependenciesMetadata", "androidTestApiDependenciesMetadata", "debugAndroidTestImplementationDependenciesMetadata", "releaseUnitTestX", "debugUnitTestAnnotationProcessorClasspath", "jacocoAnt"], "testing"),
+    (["default", "androidApis", "implementation", "coreLibraryDesugaring", "releaseRuntimeOnlyDependenciesMetadata", "archives", "myAndroidTestApi"], None),
+])
+def test_gradle_configurations(spark, names, env):
+    lines = "\n".join(f'{{"name":"p","configurations":[{{"name":"{n}","directComponents":[{{"type":"package","name":"{n}","version":"1"}}],"dependencies":[]}}]}}' for n in names)
+    rows = locks.gradle(spark.createDataFrame([("f", lines)], "file string, content string")).collect()
+    assert {r.name: r.env for r in rows} == {n: env or n for n in names}
