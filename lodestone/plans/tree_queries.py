@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.operators import linked
 from lodestone.plans.registry import Registry
 from lodestone.sources import brackets, declared, gobinary, locks, rpm, trees
 from lodestone.sources.tables import table
@@ -211,3 +212,27 @@ def reader_declared(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {_ROWS} SELECT file, i AS at, CASE k % 5 WHEN 2 THEN 'dep type: what not supported' WHEN 3 THEN 'arch is required' ELSE 'url is not allowed here' END AS problem FROM n WHERE k % 5 = 4 OR k % 5 IN (2, 3) AND k % 2 = 1""")
 def reader_declared_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     return declared.declared(_declared(spark, sf_dir)).problems.drop("list")
+
+
+def _linked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What binaries are linked with, links of links, and the packages' files: every fourth part is owned as it is, others at the end of their links."""
+    line = F.when(F.col("k") % 10 == 9, F.lit("\tlost.so => not found")).otherwise(F.format_string("\tlib%s.so => /lib/l%s.so (0x00007f)", "k", "k"))
+    printed = _printed(spark, sf_dir, line, "\tlinux-vdso.so.1 =>  (0x00007f)\n")
+    k = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.col("p_size").alias("size"))
+    hop = lambda a, b, only: k.where(only).select(F.format_string(f"/lib/{a}%s.so", "k").alias("path"), F.format_string(b, "k").alias("target"))
+    links = hop("l", "m%s.so", "k % 4 > 0").unionByName(hop("m", "../usr/n%s.so", "k % 4 > 1")).unionByName(k.where("k % 4 = 3").select(F.format_string("/usr/n%s.so", "k").alias("path"), F.format_string("/lib/l%s.so", "k").alias("target")))
+    end = F.when(F.col("k") % 4 == 0, F.format_string("/lib/l%s.so", "k")).when(F.col("k") % 4 == 1, F.format_string("/lib/m%s.so", "k")).otherwise(F.format_string("/usr/n%s.so", "k"))
+    owned = k.where("k % 3 > 0").select(end.alias("path"), F.when(F.col("k") % 3 == 1, "deb").otherwise("rpm").alias("type"), F.format_string("pkg%s", "k").alias("package"), F.format_string("1.%s", "size").alias("version"), F.lit("amd64").alias("arch"), F.lit("2").alias("epoch"))
+    return printed, links, owned
+
+
+@query(f"""WITH {_ROWS} SELECT file, CASE k % 3 WHEN 1 THEN 'deb' ELSE 'rpm' END AS type, 'pkg' || k || '#os#9' AS name, CASE k % 3 WHEN 1 THEN 'amd64#' ELSE 'amd64#2:' END || '1.' || size AS version FROM n WHERE k % 10 < 9 AND k % 3 > 0 AND k % 4 < 3""")
+def linked_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    printed, links, owned = _linked(spark, sf_dir)
+    return linked.owners(linked.linked_files(printed), links, owned, "os", "9")[0]
+
+
+@query(f"WITH {_ROWS} SELECT file, '/lib/l' || k || '.so' AS path FROM n WHERE k % 10 < 9 AND (k % 3 = 0 OR k % 4 = 3)")
+def linked_unknown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    printed, links, owned = _linked(spark, sf_dir)
+    return linked.owners(linked.linked_files(printed), links, owned, "os", "9")[1]
