@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.dependencies import bare_version, catalog_name
+from lodestone.plans.scratch import materialise
 from lodestone.sources.manifests import _json, _rows
 
 _STRINGS = "map<string,string>"
@@ -80,20 +81,22 @@ def _vertex(name: str = "name", version: str = "version") -> Column:
 _V1 = "map<string,struct<version:string,dev:boolean,requires:string,dependencies:string>>"
 
 
-def _npm_tree(files: DataFrame, most: int = 50) -> DataFrame:
-    """(file, name, version, dev, wants, own, up, depth): entries of nested ``dependencies``; own and up name version by name."""
+def _npm_tree(files: DataFrame) -> DataFrame:
+    """(file, name, version, dev, wants, own, up, depth): entries of nested ``dependencies``; own and up name version by name.
+
+    A round reads the level below the one before from where that was written, until no entry holds others.
+    """
     versions = lambda d: F.from_json(F.to_json(F.transform_values(d, lambda _, v: v["version"])), _STRINGS)
     level = _read(files, f"dependencies {_V1}").select("file", F.col("j.dependencies").alias("deps"), F.create_map().cast(_STRINGS).alias("up"), F.lit(0).alias("depth"))
     out = None
-    for _ in range(most):
+    while True:
         rows = level.select("file", "up", "depth", F.explode("deps").alias("name", "d")).where("NOT startswith(coalesce(d.version, ''), 'file:')")
-        rows = rows.withColumn("inner", F.from_json("d.dependencies", _V1))
+        rows = materialise(rows.withColumn("inner", F.from_json("d.dependencies", _V1)), "npm-tree")
         made = rows.select("file", "name", "d.version", F.coalesce("d.dev", F.lit(False)).alias("dev"), F.from_json("d.requires", _STRINGS).alias("wants"), versions(F.col("inner")).alias("own"), "up", "depth")
         out = made if out is None else out.unionByName(made)
         level = rows.where("size(inner) > 0").select("file", F.col("inner").alias("deps"), versions(F.col("inner")).alias("up"), (F.col("depth") + 1).alias("depth"))
         if level.isEmpty():
-            break
-    return out
+            return out
 
 
 def npm_v1(files: DataFrame, direct: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.plans.scratch import materialise
 from lodestone.sources import locks, manifests
 
 # File names, or ends of paths, by which manifests are found, with the reader of each.
@@ -49,17 +50,31 @@ def discover(files: DataFrame) -> DataFrame:
     return files.withColumn("reader", reader).where("reader IS NOT NULL")
 
 
+def _routed(files: DataFrame) -> DataFrame:
+    """(file, content, reader): discovered files by the reader that their path and, for two kinds of locks, their content ask for."""
+    found = discover(files).withColumnRenamed("path", "file")
+    berry = (F.col("reader") == "yarn_v1") & F.contains("content", F.lit("__metadata:"))
+    old = (F.col("reader") == "npm_lock") & ~F.rlike("content", F.lit(r'"lockfileVersion"\s*:\s*3\b')) & F.contains("content", F.lit('"dependencies"')) & ~F.contains("content", F.lit('"packages"'))
+    return found.withColumn("reader", F.when(berry, "yarn_berry").when(old, "npm_v1").otherwise(F.col("reader")))
+
+
 def read_all(files: DataFrame) -> DataFrame:
     """Dependencies of ``files`` (path, content), each by the reader that its path asks for: (reader, file, name, version, env, is_direct).
 
-    Yarn locks of version 2 are told from those of version 1 by their content. A second version 1 or 2 npm lock, which
-    keeps its packages as a tree, needs :func:`locks.npm_v1` and the names of package.json.
+    Locks of yarn 2 are told from those of version 1, and npm locks that keep their packages as a tree from later ones,
+    by their content; what is direct in such a tree is said by the package.json beside it. Files are routed once, into a
+    table that lies in the order of readers, so that each reads its own part.
     """
-    found = discover(files).withColumnRenamed("path", "file")
-    berry = (F.col("reader") == "yarn_v1") & F.contains("content", F.lit("__metadata:"))
-    found = found.withColumn("reader", F.when(berry, "yarn_berry").otherwise(F.col("reader")))
-    out = None
+    found = materialise(_routed(files).repartitionByRange(F.col("reader"), F.col("file")).sortWithinPartitions("reader"), "routed")
+    mine = lambda name: found.where(F.col("reader") == name).select("file", "content")
+    beside = F.regexp_replace("file", r"package\.json$", "package-lock.json")
+    asked = manifests.package_json(mine("package_json")).select(beside.alias("file"), "name")
+    out = locks.npm_v1(mine("npm_v1"), asked).select(F.lit("npm_v1").alias("reader"), "*")
     for read in dict.fromkeys([r for _, r in RULES] + [locks.yarn_berry]):
-        part = read(found.where(F.col("reader") == read.__name__).select("file", "content")).select(F.lit(read.__name__).alias("reader"), "*")
-        out = part if out is None else out.unionByName(part)
+        out = out.unionByName(read(mine(read.__name__)).select(F.lit(read.__name__).alias("reader"), "*"))
     return out
+
+
+def unread(files: DataFrame, rows: DataFrame) -> DataFrame:
+    """(file, reader): discovered ``files`` of which ``rows``, as :func:`read_all` gives them, hold nothing: empty or broken."""
+    return _routed(files).select("file", "reader").join(rows.select("file").distinct(), "file", "left_anti")

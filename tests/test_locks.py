@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.sources import locks, manifests
+from lodestone.sources import locks, manifests, registry
 
 
 @pytest.fixture
@@ -227,3 +227,18 @@ def test_gradle_configurations(spark, names, env):
     lines = "\n".join(f'{{"name":"p","configurations":[{{"name":"{n}","directComponents":[{{"type":"package","name":"{n}","version":"1"}}],"dependencies":[]}}]}}' for n in names)
     rows = locks.gradle(spark.createDataFrame([("f", lines)], "file string, content string")).collect()
     assert {r.name: r.env for r in rows} == {n: env or n for n in names}
+
+
+def test_npm_trees_of_any_depth_and_dispatch(spark):
+    deep = '{"version": "0.1"}'
+    for i in range(70, 0, -1):
+        deep = f'{{"version": "{i}.0", "dependencies": {{"n{i}": {deep}}}}}'
+    tree = f'{{"lockfileVersion": 1, "dependencies": {{"top": {deep}, "other": {{"version": "2.0", "dev": true}}}}}}'
+    rows = [("a/package-lock.json", tree), ("a/package.json", '{"dependencies": {"top": "*"}}'), ("b/package-lock.json", '{"lockfileVersion": 3, "packages": {"": {"dependencies": {"x": "*"}}, "node_modules/x": {"version": "1.0"}}}'), ("c/composer.lock", "{ broken"), ("d/README.md", "x")]
+    files = spark.createDataFrame(rows, "path string, content string")
+    found = registry.read_all(files)
+    got = {(r.reader, r.file, r.name): (r.version, r.env, r.is_direct) for r in found.collect()}
+    assert got["npm_v1", "a/package-lock.json", "top"] == ("1.0", "production", True) and got["npm_v1", "a/package-lock.json", "n70"] == ("0.1", "production", False)
+    assert got["npm_v1", "a/package-lock.json", "other"] == ("2.0", "development", False) and got["npm_lock", "b/package-lock.json", "x"][2]
+    assert len([k for k in got if k[0] == "npm_v1"]) == 72
+    assert {tuple(r) for r in registry.unread(files, found).collect()} == {("c/composer.lock", "composer_lock")}
