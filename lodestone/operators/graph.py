@@ -79,6 +79,18 @@ class Graph:
         edges = self.edges.join(to.toDF("src", "s"), "src").join(to.toDF("dst", "d"), "dst").select(F.col("s").alias("src"), F.col("d").alias("dst"))
         return Graph(_vertices(vertices), edges.distinct())
 
+    def traverse(self, mapping: DataFrame) -> tuple[Graph, DataFrame]:
+        """The graph renamed by ``mapping`` (node, to, problem), and (node, problem) of its nodes that cannot be renamed.
+
+        One node with a problem, or without a row, fails the whole graph, which is then empty.
+        """
+        told = self.vertices.select("node").join(mapping.select("node", "to", "problem"), "node", "left")
+        why = F.when(F.col("problem").isNotNull(), F.col("problem")).when(F.col("to").isNull(), "no name")
+        problems = materialise(told.select("node", why.alias("problem")).where("problem IS NOT NULL"), "traverse-problems")
+        whole = problems.isEmpty()
+        graph = self.relabel(mapping)
+        return (graph if whole else Graph(graph.vertices.limit(0), graph.edges.limit(0))), problems
+
     def induce(self, keep: DataFrame) -> Graph:
         """The graph of the nodes in ``keep`` (node); nothing is rewired."""
         kept = self.vertices.join(keep.select("node").distinct(), "node", "left_semi")

@@ -65,3 +65,41 @@ def graph_json(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     deps = ids.groupBy("project").agg(F.array_sort(F.collect_list(F.struct("id", F.to_json("dep").alias("d")))).alias("d"), text(F.when(F.col("is_direct"), F.col("id"))).alias("direct"))
     listed = F.array_join(F.transform("d", lambda x: x["d"]), ",")
     return deps.join(assocs, "project", "left").select("project", F.format_string('{"deps":[%s],"assocs":[%s],"direct":[%s]}', listed, F.coalesce("assocs", F.lit("")), "direct").alias("json"))
+
+
+_WHOLE = {"ignoreNullFields": "false"}
+
+
+def unit_documents(units: Units, projects: DataFrame) -> DataFrame:
+    """(project, json): one source unit as a document for each of ``projects`` (project, name, type, breadth, paths array).
+
+    Locators are in order. A document holds one project, as its format asks; projects without dependencies have empty lists.
+    """
+    needs = units.links.groupBy("project", "locator").agg(F.array_sort(F.collect_set("needs")).alias("imports"))
+    none = F.array().cast("array<string>")
+    rows = units.dependencies.join(needs, ["project", "locator"], "left")
+    each = F.struct("locator", F.coalesce("imports", none).alias("imports"), F.lit(None).cast("string").alias("metadata"))
+    rows = rows.groupBy("project").agg(F.array_sort(F.collect_list(each)).alias("deps"))
+    own = units.imports.groupBy("project").agg(F.array_sort(F.collect_list("locator")).alias("own"))
+    rows = projects.join(rows, "project", "left").join(own, "project", "left")
+    empty = F.array().cast("array<struct<locator:string,imports:array<string>,metadata:string>>")
+    build = F.struct(F.lit("default").alias("Artifact"), F.lit(True).alias("Succeeded"), F.coalesce("own", none).alias("Imports"), F.coalesce("deps", empty).alias("Dependencies"))
+    unit = F.struct(F.col("name").alias("Name"), F.col("type").alias("Type"), F.col("name").alias("Manifest"), build.alias("Build"), F.col("breadth").alias("GraphBreadth"), none.alias("NoticeFiles"), F.col("paths").alias("OriginPaths"))
+    return rows.select("project", F.to_json(unit, _WHOLE).alias("json"))
+
+
+def scan_documents(images: DataFrame, layers: DataFrame, documents: DataFrame, observations: DataFrame) -> DataFrame:
+    """(image, json): the scan of each of ``images`` (image, os, release), with its ``layers`` (image, layer, ord) in order.
+
+    ``documents`` (image, layer, json) are the layers' source units, ``observations`` (image, layer, json) what was found in
+    JARs; both stand in the scan as they are, in their order as text. An unknown system is null.
+    """
+    texts = lambda rows, c: rows.groupBy("image", "layer").agg(F.array_join(F.array_sort(F.collect_list("json")), ",").alias(c))
+    rows = layers.join(texts(documents, "u"), ["image", "layer"], "left").join(texts(observations, "o"), ["image", "layer"], "left")
+    quoted = lambda c: F.coalesce(F.regexp_extract(F.to_json(F.struct(F.col(c).alias("x"))), r'^\{"x":(.*)\}$', 1), F.lit(""))
+    empty = F.lit("")
+    one = F.format_string('{"layerId":%s,"srcUnits":[%s],"observations":[%s]}', quoted("layer"), F.coalesce("u", empty), F.coalesce("o", empty))
+    listed = rows.groupBy("image").agg(F.array_sort(F.collect_list(F.struct("ord", one.alias("t")))).alias("x"))
+    value = lambda c: F.when(F.col(c).isNull(), "null").otherwise(quoted(c))
+    whole = F.format_string('{"image":{"os":%s,"osRelease":%s,"layers":[%s]}}', value("os"), value("release"), F.coalesce(F.array_join(F.transform("x", lambda x: x["t"]), ","), empty))
+    return images.join(listed, "image", "left").select("image", whole.alias("json"))

@@ -76,6 +76,20 @@ def graph_relabel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.relabel(_names(spark, sf_dir, graph)).edges
 
 
+@query(f"{_L}, {_NAMES} SELECT DISTINCT a.t AS src, b.t AS dst FROM e JOIN m a ON a.node = src JOIN m b ON b.node = dst")
+def graph_traverse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    graph = layered(spark, sf_dir)
+    return graph.traverse(_names(spark, sf_dir, graph).withColumn("problem", F.lit(None).cast("string")))[0].edges
+
+
+@query(f"{_L} SELECT node, 'is open' AS problem FROM v JOIN orders ON node = 'order:' || o_orderkey WHERE o_orderstatus = 'O'")
+def graph_traverse_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    graph = layered(spark, sf_dir)
+    is_open = table(spark, sf_dir, "orders").where("o_orderstatus = 'O'").select(key("order", "o_orderkey").alias("node"), F.lit("is open").alias("problem"))
+    mapping = graph.vertices.select("node").join(is_open, "node", "left").select("node", F.col("node").alias("to"), "problem")
+    return graph.traverse(mapping)[1]
+
+
 @query(f"{_L}, gone AS (SELECT 'order:' || o_orderkey AS node FROM orders WHERE o_orderstatus = 'F') SELECT src, dst FROM e WHERE src NOT IN (SELECT node FROM gone) AND dst NOT IN (SELECT node FROM gone)")
 def graph_induce(spark: SparkSession, sf_dir: str) -> DataFrame:
     graph = layered(spark, sf_dir)

@@ -49,3 +49,14 @@ FROM n LEFT JOIN s ON s.project = n.project GROUP BY n.project""")
 def project_graph_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     vertices, edges = _tables(spark, sf_dir)
     return units.graph_json(vertices.select("project", "node", F.struct("type", "name").alias("dep"), "is_direct"), edges)
+
+
+@query(f"""WITH RECURSIVE {_ROWS}, links AS (SELECT DISTINCT v.project, w.locator, v.locator AS needs FROM up JOIN v ON v.k = up.k AND v.kept JOIN v w ON w.k = up.a AND w.kept),
+d AS (SELECT v.project, v.locator, v.is_direct, coalesce((SELECT string_agg('"' || needs || '"', ',' ORDER BY needs) FROM links WHERE links.project = v.project AND links.locator = v.locator), '') AS imports FROM v WHERE kept)
+SELECT project, '{{"Name":"dir' || project || '","Type":"mixed","Manifest":"dir' || project || '","Build":{{"Artifact":"default","Succeeded":true,"Imports":[' || coalesce(string_agg(CASE WHEN is_direct THEN '"' || locator || '"' END, ',' ORDER BY locator), '') || '],"Dependencies":['
+|| string_agg('{{"locator":"' || locator || '","imports":[' || imports || '],"metadata":null}}', ',' ORDER BY locator) || ']}},"GraphBreadth":"complete","NoticeFiles":[],"OriginPaths":["lock' || project || '"]}}' AS json FROM d GROUP BY project""")
+def unit_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vertices, edges = _tables(spark, sf_dir)
+    at = F.col("project").cast("string")
+    projects = vertices.select("project").distinct().select("project", F.concat(F.lit("dir"), at).alias("name"), F.lit("mixed").alias("type"), F.lit("complete").alias("breadth"), F.array(F.concat(F.lit("lock"), at)).alias("paths"))
+    return units.unit_documents(units.source_units(vertices, edges), projects)

@@ -7,6 +7,7 @@ import json
 from pyspark.sql import functions as F
 
 from lodestone.operators import units
+from lodestone.operators.graph import Graph
 
 VERTICES = "project string, node string, type string, name string, leaves array<struct<op:string,value:string>>, environments array<string>, is_direct boolean"
 
@@ -32,3 +33,32 @@ def test_graph_json(spark):
     edges = spark.createDataFrame([("p", "b", "c"), ("p", "b", "a"), ("p", "b", "a"), ("p", "a", "c")], "project string, src string, dst string")
     got = {r.project: json.loads(r.json) for r in units.graph_json(vertices.select("project", "node", F.struct("type").alias("dep"), "is_direct"), edges).collect()}
     assert got == {"p": {"deps": [{"type": "u"}, {"type": "t"}, {"type": "t"}], "assocs": [[0, [2]], [1, [0, 2]]], "direct": [1]}, "q": {"deps": [{"type": "t"}], "assocs": [], "direct": []}}
+
+
+def test_unit_and_scan_documents(spark):
+    text = "project string, locator string"
+    found = units.Units(spark.createDataFrame([("p", "gem+b$1"), ("p", "gem+a$")], text), spark.createDataFrame([("p", "gem+b$1"), ("p", "gem+a$"), ("p", "gem+c$")], text), spark.createDataFrame([("p", "gem+b$1", "gem+c$"), ("p", "gem+b$1", "gem+a$")], text + ", needs string"))
+    projects = spark.createDataFrame([("p", "dir/p", "gem", "complete", ["Gemfile"]), ("none", "dir/n", "gem", "partial", [])], "project string, name string, type string, breadth string, paths array<string>")
+    docs = units.unit_documents(found, projects)
+    got = {r.project: json.loads(r.json) for r in docs.collect()}
+    deps = [{"locator": "gem+a$", "imports": [], "metadata": None}, {"locator": "gem+b$1", "imports": ["gem+a$", "gem+c$"], "metadata": None}, {"locator": "gem+c$", "imports": [], "metadata": None}]
+    assert got["p"] == {"Name": "dir/p", "Type": "gem", "Manifest": "dir/p", "Build": {"Artifact": "default", "Succeeded": True, "Imports": ["gem+a$", "gem+b$1"], "Dependencies": deps}, "GraphBreadth": "complete", "NoticeFiles": [], "OriginPaths": ["Gemfile"]}
+    assert got["none"]["Build"] == {"Artifact": "default", "Succeeded": True, "Imports": [], "Dependencies": []}
+    images = spark.createDataFrame([("i", 'al"pine', "3"), ("j", None, None)], "image string, os string, release string")
+    layers = spark.createDataFrame([("i", "base", 0), ("i", "other layers", 1)], "image string, layer string, ord int")
+    placed = docs.where("project = 'p'").select(F.lit("i").alias("image"), F.lit("other layers").alias("layer"), "json")
+    seen = spark.createDataFrame([("i", "base", '{"path":"a.jar"}')], "image string, layer string, json string")
+    scans = {r.image: json.loads(r.json) for r in units.scan_documents(images, layers, placed, seen).collect()}
+    assert scans["i"] == {"image": {"os": 'al"pine', "osRelease": "3", "layers": [{"layerId": "base", "srcUnits": [], "observations": [{"path": "a.jar"}]}, {"layerId": "other layers", "srcUnits": [got["p"]], "observations": []}]}}
+    assert scans["j"] == {"image": {"os": None, "osRelease": None, "layers": []}}
+
+
+def test_traverse(spark):
+    nodes = spark.createDataFrame([("a",), ("b",)], "node string")
+    graph = Graph.build(nodes.where("node = 'a'"), spark.createDataFrame([("a", "b")], "src string, dst string"))
+    table = lambda rows: spark.createDataFrame(rows, "node string, to string, problem string")
+    done, problems = graph.traverse(table([("a", "x", None), ("b", "y", None)]))
+    assert [tuple(r) for r in done.edges.collect()] == [("x", "y")] and problems.count() == 0
+    for rows, why in (([("a", "x", None), ("b", None, "bad")], "bad"), ([("a", "x", None)], "no name")):
+        failed, problems = graph.traverse(table(rows))
+        assert failed.vertices.count() == failed.edges.count() == 0 and [tuple(r) for r in problems.collect()] == [("b", why)]
