@@ -15,7 +15,9 @@ batch are encoded once; results are kept in the worker up to a bound.
 
 from __future__ import annotations
 
+import ctypes
 import functools
+import gc
 import hashlib
 import itertools
 import json
@@ -38,7 +40,9 @@ BLOCK = 1 << 15
 #: Bytes of text, and of events, that are worked on at once; a longer text is worked on alone.
 SLICE = 2 << 20
 #: Known pieces beyond which a worker forgets them.
-KEPT = 250_000
+KEPT = 200_000
+#: Pieces that are given to the tokenizers at once; what they return is several hundred bytes a piece.
+BATCH = 4096
 #: Rows of an Arrow batch; a batch of whole texts is small then.
 ROWS = 1000
 #: Different id pairs whose counts are broadcast to the documents; more are joined.
@@ -123,8 +127,8 @@ class _Encoder:
         known = self.known
         new = [p for p in found if p not in known]
         known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
-        if new:
-            self.learn(new)
+        for i in range(0, len(new), BATCH):
+            self.learn(new[i : i + BATCH])
         return np.fromiter(map(known.__getitem__, found), np.int64, len(found))
 
     def learn(self, new: list[bytes]) -> None:
@@ -148,6 +152,15 @@ class _Encoder:
         self.right = np.concatenate([self.right, right])
 
 
+def _released() -> None:
+    """Gives back what a task no longer needs: idle workers live on beside those that work."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def _gather(flat: np.ndarray, sizes: np.ndarray, codes: np.ndarray) -> np.ndarray:
     """The runs of ``flat`` (their lengths are ``sizes``) that ``codes`` name, one after the other."""
     starts, n = (np.cumsum(sizes) - sizes)[codes], sizes[codes]
@@ -223,6 +236,8 @@ def events(docs: DataFrame, file_a: str = FILE_A, file_b: str = FILE_B, id_col:
             sizes = pc.fill_null(pc.binary_length(batch["text"]), 0).to_numpy()
             for a, b in _slices(sizes + 1, SLICE):
                 yield _events(coder, *[batch[c].slice(a, b - a) for c in ("key", "doc_id", "text")])
+        del coder
+        _released()
 
     return src.mapInArrow(run, EVENTS)
 
@@ -376,6 +391,8 @@ def align(docs: DataFrame, file_a: str = FILE_A, file_b: str = FILE_B, texts: bo
                     yield batch_of(rows_out)
         if machine:
             yield batch_of([machine.ended()])
+        del machine
+        _released()
 
     return rows.mapInArrow(run, ALIGNED)
 
