@@ -116,6 +116,23 @@ def test_lines_of_hot_keys(spark):
     assert got == set(range(120, 160))
 
 
+def test_lines_of_one_hot_key(spark):
+    """Near copies that share no key but one that very many lines hold, in blocks of any size, are linked all the same."""
+    rng = random.Random(24)
+    rows = [("the common key", prose(rng, 6)) for _ in range(90)]
+    rows += [(k, t.replace("a", "o", 1)) for k, t in rows[40:70]]
+    named = [(i + 1, 10 * i, len(t), t, [7, 1000 + i]) for i, (_, t) in enumerate(rows)]
+    table = spark.createDataFrame(named, "h1 long, h2 long, n int, norm string, keys array<long>")
+    near = {(a[0], b[0]) for a, b in itertools.combinations(named, 2) if 5 * distance(a[3], b[3]) <= max(a[2], b[2])}
+    assert len(near) >= 20
+    for block in (7, 512):
+        got = [(r.a, r.b) for r in lines.line_links(table, block).collect()]
+        root = {i: i for i, *_ in named}
+        for a, b in got * 3:
+            root[a] = root[b] = min(root[a], root[b])
+        assert all(root[a] == root[b] for a, b in near) and set(got) <= near
+
+
 def test_lines_odd_and_empty(spark):
     odd = odd_documents(spark)
     out = lines.dedup_lines(odd)
