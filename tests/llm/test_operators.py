@@ -239,6 +239,24 @@ def test_passages_hold_true_jaccard_pairs(spark):
     assert all(share[p] >= 0.6 for p in got)  # a found passage of 50 words is similar, its text of 60 may be less so
 
 
+def test_passages_around_a_frequent_one(spark):
+    """Exact passages of 60 words, 45 of them in very many documents, and frequent ones that only later documents hold whole."""
+    rng = random.Random(33)
+    common, long = prose(rng, 45), prose(rng, 40)
+    texts = [f"{prose(rng, 30)} {common} {prose(rng, 30)}" for _ in range(120)]
+    for i in range(30):
+        tail = prose(rng, 15)
+        texts += [f"{prose(rng, 20)} {common} {tail} {prose(rng, 20)}", f"{prose(rng, 25)} {common} {tail} {prose(rng, 12)}"]
+    texts += [f"{prose(rng, 20)} {common} {long} {prose(rng, 20)}" for _ in range(25)]
+    found = passages.near_duplicate_passages(documents(spark, texts)).collect()
+    got = {(r.match_doc_id, r.doc_id) for r in found}
+    assert got >= {(121 + 2 * i, 122 + 2 * i) for i in range(30)}
+    root = {i: i for i in range(181, 206)}
+    for a, b in sorted(p for p in got if p[0] > 180) * 3:
+        root[a] = root[b] = min(root[a], root[b])
+    assert set(root.values()) == {181} and not any(b <= 120 for _, b in got)
+
+
 def test_passages_odd_and_empty(spark):
     assert passages.near_duplicate_passages(odd_documents(spark)).count() == 0
     assert passages.near_duplicate_passages(odd_documents(spark).limit(0)).count() == 0
