@@ -13,6 +13,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from lodestone.llm import chat, decontamination, html, licenses, lines, mixing, passages, quality, sharding, simhash
 
@@ -133,6 +134,20 @@ def test_lines_of_one_hot_key(spark):
         assert all(root[a] == root[b] for a, b in near) and set(got) <= near
 
 
+def test_lines_bounds_keep_all_similar(spark):
+    """What spares a pair of lines its texts: no pair of similar lines, most pairs that share a phrase alone."""
+    rng = random.Random(25)
+    phrase = prose(rng, 12)
+    base = [f"{prose(rng, 14)} {phrase} {prose(rng, 14)}" for _ in range(40)] + [prose(rng, 8) for _ in range(10)]
+    near = [" ".join(w + "s" if rng.random() < 0.3 else "x" if rng.random() < 0.05 else w for w in b.split()) for b in base]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(base + near)], "line long, norm string")
+    rows = rows.select("line", "norm", lines.coded(F.col("norm")).alias("coded"), lines.traits(F.col("norm")).alias("traits"))
+    pairs = rows.alias("x").join(rows.alias("y"), F.expr("x.line < y.line"))
+    like = pairs.select("x.line", F.col("y.line").alias("other"), lines.similar("x.norm", "y.norm", "x.coded", "y.coded").alias("like"), lines._possible("x.traits", "y.traits").alias("may")).collect()
+    assert sum(r.like for r in like) >= 30 and all(r.may for r in like if r.like)
+    assert sum(r.may for r in like if not r.like) <= 0.35 * len(like)
+
+
 def test_lines_odd_and_empty(spark):
     odd = odd_documents(spark)
     out = lines.dedup_lines(odd)
