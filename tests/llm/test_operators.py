@@ -272,6 +272,20 @@ def test_passages_around_a_frequent_one(spark):
     assert set(root.values()) == {181} and not any(b <= 120 for _, b in got)
 
 
+def test_tokens_around_a_place_once_each():
+    """Every token within reach has one row with its places, at the ends of a text as well."""
+    x = np.array([5, 7, 7, 7, 9, 7, 5, 3], np.uint64)
+    for c, reach in ((0, 2), (3, 2), (7, 3), (4, 50)):
+        u, lo, hi, places = passages.tokens_around(x, c, reach)
+        want = defaultdict(list)
+        for i in range(max(0, c - reach), min(8, c + reach + 1)):
+            want[int(x[i])].append(i - c)
+        assert [(a, b, d) for a, b, d in zip(u.tolist(), lo.tolist(), hi.tolist(), strict=True)] == [(k, min(v), max(v)) for k, v in sorted(want.items())]
+    same, moved = passages.tokens_around(x, 2, 1), passages.tokens_around(x[1:], 1, 1)
+    assert all(np.array_equal(a, b) for a, b in zip(same, moved, strict=True))
+    assert passages.tokens_around(x, 4, 1)[3].tolist() != passages.tokens_around(x[[7, 4, 7, 7, 7]], 2, 1)[3].tolist()
+
+
 def test_passages_odd_and_empty(spark):
     assert passages.near_duplicate_passages(odd_documents(spark)).count() == 0
     assert passages.near_duplicate_passages(odd_documents(spark).limit(0)).count() == 0
